@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import dedup, mixture
+from quern.llm import dedup, mixture, packing, token_file
 from quern.llm.common import table
 
 
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.encode_and_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0)
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix_taken(table(spark, sf_dir, "documents"))
 
@@ -18,9 +23,15 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.mark_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_file": op2_token_file,
     "op5_source_mix": op5_source_mix,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_packing": op9_packing,
 }
 
 OP5_SQL = r"""
