@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import dedup, mixture, packing, token_file
+from quern.llm import chat, dedup, mixture, packing, token_file, warc
 from quern.llm.common import table
 
 
@@ -15,10 +15,18 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.encode_and_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0)
 
 
+def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(table(spark, sf_dir, "pages"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix_taken(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_and_digest(chat.with_planted(table(spark, sf_dir, "conversations")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.mark_duplicates(table(spark, sf_dir, "documents"))
 
@@ -29,7 +37,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_file": op2_token_file,
+    "op4_warc_archive": op4_warc_archive,
     "op5_source_mix": op5_source_mix,
+    "op7_chat_format": op7_chat_format,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
 }
@@ -66,4 +76,13 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_source_mix": OP5_SQL, "op8_exact_dedup": OP8_SQL}
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT page_id, html, min(page_id) OVER (PARTITION BY html) AS first_id, strlen(html) AS n FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM g
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_warc_archive": OP4_SQL, "op5_source_mix": OP5_SQL, "op8_exact_dedup": OP8_SQL}
