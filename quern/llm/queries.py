@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import chat, dedup, mixture, packing, token_file, warc
-from quern.llm.common import table
+from quern.llm import chat, dedup, langid, mixture, packing, token_file, topk, warc
+from quern.llm.common import id_crc32, table
 
 
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,13 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix_taken(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    remainder = id_crc32(F.col("doc_id")) % 4
+    model = langid.train(docs.filter(remainder != 2).select("doc_id", "text", "lang"))
+    return langid.predict(docs, model).select("doc_id", (remainder == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_and_digest(chat.with_planted(table(spark, sf_dir, "conversations")))
 
@@ -35,13 +43,19 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
+def op10_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_file": op2_token_file,
     "op4_warc_archive": op4_warc_archive,
     "op5_source_mix": op5_source_mix,
+    "op6_language_id": op6_language_id,
     "op7_chat_format": op7_chat_format,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
+    "op10_pivot_topk": op10_pivot_topk,
 }
 
 OP5_SQL = r"""
@@ -85,4 +99,15 @@ SELECT page_id, n::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
 FROM g
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_warc_archive": OP4_SQL, "op5_source_mix": OP5_SQL, "op8_exact_dedup": OP8_SQL}
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_warc_archive": OP4_SQL, "op5_source_mix": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op10_pivot_topk": OP10_SQL}
