@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, dedup, langid, mixture, packing, token_file, topk, warc
+from quern.llm import chat, dedup, jaccard, langid, mixture, packing, token_file, topk, warc
 from quern.llm.common import id_crc32, table
 
 
@@ -16,6 +16,10 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.encode_and_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0)
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(table(spark, sf_dir, "pages"))
 
@@ -49,6 +53,7 @@ def op10_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_file": op2_token_file,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_warc_archive": op4_warc_archive,
     "op5_source_mix": op5_source_mix,
     "op6_language_id": op6_language_id,
