@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, dedup, jaccard, langid, mixture, packing, token_file, topk, warc
+from quern.llm import chat, dedup, jaccard, langid, lm_score, mixture, packing, token_file, topk, warc
 from quern.llm.common import id_crc32, table
 
 
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"), id_crc32(F.col("doc_id")) % 7 == 2)
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.encode_and_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0)
 
@@ -52,6 +56,7 @@ def op10_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_context_mixing": op1_context_mixing,
     "op2_token_file": op2_token_file,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_warc_archive": op4_warc_archive,
