@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
 #: Pieces that a worker remembers at most; beyond it the cache starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
+_TOGETHER = 256
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -31,89 +34,80 @@ class PieceEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self._most = cache_pieces
-        self._spaced: dict[str, bytes] = {}  # pieces after a space
-        self._bare: dict[str, bytes] = {}  # pieces after a line feed or nothing
+        #: What parts pieces that are encoded together, and its only id: a line feed, or a control where white space has no id.
+        self._mark = "\n" if self._run(["\n"])[0] else " \x01 "
+        (self._mark_id,) = np.frombuffer(self._run([self._mark])[0], "<u4")
+        self._line = self._run(["\n"])[0]
+        self._forget()
+
+    def _forget(self) -> None:
+        self._after: dict[str, bytes] = {}  # pieces after a space, or with the line feed before them
+        self._bare: dict[str, bytes] = {"": b""}  # pieces at the start of a text or line
 
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self._spaced) + len(self._bare) > self._most:
-            self._spaced, self._bare = {}, {}
-        out: list[bytes | None] = []
-        late: list[int] = []
-        for i, text in enumerate(texts):
-            out.append(self._join(text))
-            if out[-1] is None:
-                late.append(i)
-        if late:
-            whole = self._learn([texts[i] for i in late])
-            for i, is_whole in zip(late, whole, strict=True):
-                out[i] = None if is_whole else self._join(texts[i])
-            rest = [i for i in late if out[i] is None]
-            for i, ids in zip(rest, self._run([texts[i] for i in rest]), strict=True):
-                out[i] = ids
+        if len(self._after) + len(self._bare) > self._most:
+            self._forget()
+        pieces = [x.replace("\n", " \n").split(" ") for x in texts]
+        after = set(chain.from_iterable(x[1:] for x in pieces)).difference(self._after)
+        bare = {x[0] for x in pieces}.difference(self._bare)
+        odd = self._learn(after, bare)
+        get, out, whole = self._after.__getitem__, [], []
+        for i, (first, *others) in enumerate(pieces):
+            if odd and (first in odd or not odd.isdisjoint(others)):
+                whole.append(i)
+                out.append(b"")
+            else:
+                out.append(self._bare[first] + b"".join(map(get, others)))
+        for i, ids in zip(whole, self._run([texts[i] for i in whole]), strict=True):
+            out[i] = ids
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(x, "<u4") for x in self.encode_bytes(texts)]
 
     def _run(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
-
-    def _join(self, text: str) -> bytes | None:
-        """From the cache; None if a piece isn't there."""
-        if not text:
-            return b""
-        first, *others = text.split(" ")
-        try:
-            return b"".join([self._bare[first], *[self._spaced[x] for x in others]])
-        except KeyError:
-            return None
-
-    def _learn(self, texts: list[str]) -> list[bool]:
-        """Puts the pieces of texts into the cache. Says of each text whether it must be encoded as a whole."""
-        spaced, bare, whole, lines = {}, {}, [], []
-        for text in texts:
-            first, *others = text.split(" ")
-            new = {x for x in others if x not in self._spaced}
-            odd = any(_odd(x) for x in new) or (first not in self._bare and _odd(first))
-            whole.append(odd)
-            if odd:
-                continue
-            for x, after_space in [*((x, True) for x in new), *([(first, False)] if first not in self._bare else [])]:
-                head, *tails = x.split("\n")
-                atoms = [*_stopped(head)]
-                (spaced if after_space else bare)[atoms[0]] = None
-                bare.update(dict.fromkeys(atoms[1:]))
-                for t in tails:
-                    bare.update(dict.fromkeys(_stopped(t)))
-                if tails or len(atoms) > 1:
-                    lines.append((x, after_space))
-        if any("\n" in x for x, _ in lines):
-            bare["\n"] = None
-        for into, asked, lead in ((self._spaced, spaced, " "), (self._bare, bare, "")):
-            todo = [x for x in asked if x not in into]
-            into.update(zip(todo, self._run([lead + x for x in todo]), strict=True))
-        for x, after_space in lines:
-            head, *tails = x.split("\n")
-            parts = [self._atoms(head, self._spaced if after_space else self._bare)]
-            for t in tails:
-                parts += [self._bare["\n"], self._atoms(t, self._bare)]
-            (self._spaced if after_space else self._bare)[x] = b"".join(parts)
-        return whole
-
-    def _atoms(self, x: str, into: dict[str, bytes]) -> bytes:
-        a, *rest = _stopped(x)
-        return into[a] + b"".join(self._bare[r] for r in rest)
+        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _run_pieces(self, pieces: list[str], lead: str) -> Iterator[bytes]:
+        glue = self._mark + lead
+        parts = [pieces[i : i + _TOGETHER] for i in range(0, len(pieces), _TOGETHER)]
+        for part, ids in zip(parts, self._run([lead + glue.join(x) for x in parts]), strict=True):
+            ends = np.flatnonzero(np.frombuffer(ids, "<u4") == self._mark_id) * 4
+            if len(ends) != len(part) - 1:
+                raise ValueError("the vocabulary doesn't keep pieces apart")
+            at = 0
+            for end in [*ends.tolist(), len(ids)]:
+                yield ids[at:end]
+                at = end + 4
+
+    def _learn(self, after: set[str], bare: set[str]) -> set[str]:
+        """Puts pieces into the cache. Gives those whose white space could join with what surrounds them."""
+        odd, spaced, alone, stops, lines = set(), [], set(), [], []
+        for x in after:
+            if x.isalpha():
+                spaced.append(x)
+            elif x[:-1].isalpha() and x[-1] in ",.":
+                stops.append(x)
+            elif x[:1] == "\n":
+                odd.add(x) if _odd(x[1:]) else lines.append(x)
+            else:
+                odd.add(x) if _odd(x) else spaced.append(x)
+        for x in chain(bare, (x[1:] for x in lines)):
+            if x not in self._bare:
+                odd.add(x) if _odd(x) else alone.add(x)
+        heads = {x[:-1] for x in stops}.difference(spaced, self._after)
+        spaced.extend(heads)
+        alone.update(x for x in ",." if x not in self._bare)
+        self._after.update(zip(spaced, self._run_pieces(spaced, " "), strict=True))
+        self._bare.update(zip(todo := list(alone), self._run_pieces(todo, ""), strict=True))
+        self._after.update((x, self._after[x[:-1]] + self._bare[x[-1]]) for x in stops)
+        self._after.update((x, self._line + self._bare[x[1:]]) for x in lines)
+        return odd
 
 
 def _odd(piece: str) -> bool:
-    """Whether white space in or at the edges of the piece could join with what surrounds it."""
-    return not piece or any(not x or x != x.strip() or "᠎" in x or "\x85" in x for x in piece.split("\n"))
-
-
-def _stopped(piece: str) -> tuple[str, ...]:
-    """A comma or full stop after a letter is a token of its own."""
-    return (piece[:-1], piece[-1]) if len(piece) > 1 and piece[-1] in ",." and piece[-2].isalpha() else (piece,)
+    return not piece or piece != piece.strip() or "\x01" in piece or "\u180e" in piece or "\x85" in piece or "\n" in piece
 
 
 def crc(ids: bytes | np.ndarray) -> int:
