@@ -14,8 +14,8 @@ from itertools import chain
 import numpy as np
 
 #: Pieces that a worker remembers at most; beyond it the cache starts anew.
-CACHE_PIECES = 800_000
-_TOGETHER = 256
+CACHE_PIECES = 1_100_000
+_TOGETHER = 32
 _encoders: dict[str, PieceEncoder] = {}
 
 
