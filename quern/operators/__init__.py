@@ -1 +1 @@
-
+"""Queries, reductions and mutations as DataFrame transformations."""

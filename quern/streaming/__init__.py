@@ -1 +1 @@
-
+"""Structured Streaming into record streams."""
