@@ -48,7 +48,7 @@ def comparison_key(text: Column, policy: Policy = Policy.ORDINAL) -> Column:
     if policy is Policy.ASCII_IGNORE_CASE:
         outside = F.raise_error(F.concat(F.lit("not printable ASCII: "), text)).cast("string")
         return F.when(text.isNull(), F.lit(None).cast("string")).when(text.rlike(r"^[ -~]*$"), ordinal_key(F.lower(text))).otherwise(outside)
-    return F.hex(F.encode(fold(text), "UTF-32BE"))
+    return F.hex(F.encode(fold(text), "UTF-32"))
 
 
 def key_of(text: str, policy: Policy = Policy.ORDINAL) -> str:

@@ -17,6 +17,8 @@ from quern.plans.requests import Compare, Filter
 def comparison(c: Compare, column: Column, kind: str | None = None) -> Column:
     """One comparison. Every result is true or false, never null, so that complements are exact.
 
+    The test for null is a conjunct of its own, so that scans can be asked both.
+
     kind: the column's SQL type, to which members of a collection are cast, so that 1, 1.0 and 1e0 are one value.
     """
     v = c.value
@@ -26,24 +28,24 @@ def comparison(c: Compare, column: Column, kind: str | None = None) -> Column:
         return column.isNotNull() if v is None else ~column.eqNullSafe(F.lit(v))
     if c.op is Op.IN:
         known = [x for x in v if x is not None]
-        found = F.coalesce(column.isin(known), F.lit(False)) if known else F.lit(False)
+        found = column.isNotNull() & column.isin(known) if known else F.lit(False)
         return found | column.isNull() if len(known) < len(v) else found
     if c.op is Op.CONTAINS:
-        return F.coalesce(text.contains_ignore_case(column, v), F.lit(False))
+        return column.isNotNull() & text.contains_ignore_case(column, v)
     if c.op is Op.NOT_CONTAINS:
-        return ~F.coalesce(text.contains_ignore_case(column, v), F.lit(False))
+        return column.isNull() | ~text.contains_ignore_case(column, v)
     if c.op is Op.STARTS_WITH:
-        return F.coalesce(text.starts_ignore_case(column, v), F.lit(False))
+        return column.isNotNull() & text.starts_ignore_case(column, v)
     if c.op is Op.HAS:
-        return F.coalesce(F.array_contains(column, _member(v, kind)), F.lit(False))
+        return column.isNotNull() & F.coalesce(F.array_contains(column, _member(v, kind)), F.lit(False))
     if c.op is Op.HAS_ALL:
         if not v:
             raise Declared("has all needs values")
         wanted = F.array_distinct(F.array(*[_member(x, kind) for x in v]))
-        return F.coalesce(F.size(F.array_except(wanted, column)) == 0, F.lit(False))
+        return column.isNotNull() & (F.size(F.array_except(wanted, column)) == 0)
     bound = F.lit(v)
     ranges = {Op.GREATER: column > bound, Op.GREATER_EQUAL: column >= bound, Op.LESS: column < bound, Op.LESS_EQUAL: column <= bound}
-    return F.coalesce(ranges[c.op], F.lit(False))
+    return column.isNotNull() & ranges[c.op]
 
 
 def _member(v: object, kind: str | None) -> Column:
@@ -92,7 +94,7 @@ def keyset_column(order: list[tuple[str, bool]], boundary: list[object]) -> Colu
         if v is None:
             later = F.lit(False) if down else column.isNotNull()
         else:
-            later = (column < bound) | column.isNull() if down else column > bound
-        out = out | (same & F.coalesce(later, F.lit(False)))
+            later = column.isNull() | (column < bound) if down else column.isNotNull() & (column > bound)
+        out = out | (same & later)
         same = same & (column.isNull() if v is None else column.eqNullSafe(bound))
     return out

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text
+from quern.functions.text import Policy
 from quern.operators.bounds import newest_bound
 from quern.plans.declarations import Declared, Stream, StreamField, Type
 
@@ -71,12 +72,15 @@ def check_tree(stream: Stream, p: Predicate) -> None:
 
 
 def _one(f: StreamField, x: Is, value: Column) -> Column:
-    if f.type is Type.STRING:
+    """A comparison of one value. Where keys and texts are equal alike, the column itself is compared, so that scans can be asked."""
+    if f.type is Type.STRING and not (f.policy is Policy.ORDINAL and x.op != "between"):
         key, keys = text.comparison_key(value, f.policy), [text.key_of(v, f.policy) for v in x.values]
         if x.op == "contains":
             return text.key_contains(key, keys[0], text.key_unit(f.policy))
     else:
         key, keys = value, list(x.values)
+        if x.op == "contains":
+            return F.contains(key, F.lit(keys[0]))
     if x.op == "between":
         return key.between(F.lit(keys[0]), F.lit(keys[1]))
     return key.isin(keys)
@@ -87,8 +91,8 @@ def predicate_column(stream: Stream, p: Predicate) -> Column:
     if isinstance(p, Is):
         f = stream.field(p.field)
         c = F.col(f.name)
-        found = F.exists(c, lambda v: F.coalesce(_one(f, p, v), F.lit(False))) if f.multiple else _one(f, p, c)
-        return F.coalesce(found, F.lit(False))
+        found = F.exists(c, lambda v: v.isNotNull() & _one(f, p, v)) if f.multiple else _one(f, p, c)
+        return c.isNotNull() & found
     parts = [predicate_column(stream, x) for x in p.parts]
     return reduce(and_ if isinstance(p, All) else or_, parts)
 

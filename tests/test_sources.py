@@ -1,0 +1,179 @@
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from quern.functions import identity, values
+from quern.functions.text import Policy
+from quern.operators import joins
+from quern.plans.declarations import Declared, Field, Mutation, Op, Query, Stream, StreamField, Type, Unit
+from quern.plans.requests import Compare, Request
+from quern.sources.commits import CommitLog, Conflict
+from quern.sources.documents import Delete, DocumentStore, Refused, Save, UnitOfWork
+from quern.sources.evolution import Change, Upgrades, additive_changes, project
+from quern.sources.records import RecordStore, Rejected
+from quern.streaming.ingest import append_stream
+
+TICKET = Unit(
+    "ticket",
+    (Field("number", Type.STRING, unique=True), Field("status", Type.STRING), Field("rank", Type.INT32)),
+    (Query("open", {"status": frozenset({Op.EQUAL, Op.IN})}),),
+    (Mutation("close", "open", "transition", "status", "closed", ("open",)), Mutation("drop", "open", "delete")),
+    id_policy=Policy.UNICODE_IGNORE_CASE,
+)
+NOTE = Unit("note", (Field("ticket", Type.STRING),), scoped=True)
+
+
+def ticket(i, status="open", expected=None, number=None):
+    return Save(i, json.dumps({"status": status}), {"number": number or i, "status": status, "rank": 1}, expected)
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    return DocumentStore(spark, f"file://{tmp_path}/docs", [TICKET, NOTE])
+
+
+def test_versions(store):
+    store.write({"ticket": [ticket("A"), ticket("b")]})
+    assert store.load("ticket", "a")["version"] == 1
+    store.write({"ticket": [ticket("a", "closed", 1)]})
+    row = store.load("ticket", "A")
+    assert (row["version"], row["status"]) == (2, "closed")
+    assert store.read("ticket").count() == 2
+    for bad in (ticket("a", expected=1), ticket("A", expected=0), Delete("zz"), Delete("a", 1)):
+        with pytest.raises(Refused):
+            store.write({"ticket": [bad]})
+    store.write({"ticket": [Delete("A", 2)]})
+    assert store.load("ticket", "A") is None
+    assert store.read("ticket", 0).count() == 2  # commits stay readable
+
+
+def test_unique_values_and_units_of_work(store):
+    work = UnitOfWork(store)
+    work.save("ticket", ticket("x", number="1"))
+    work.save("note", Save("n", "{}", {"ticket": "x"}, scope="t1"))
+    work.commit()
+    assert store.load("note", "n", "t1")["ticket"] == "x"
+    assert store.load("note", "n", "t2") is None
+    work = UnitOfWork(store)
+    work.save("note", Save("n2", "{}", {"ticket": "y"}, scope="t1"))
+    work.save("ticket", ticket("y", number="1"))
+    with pytest.raises(Refused):
+        work.commit()
+    assert store.load("note", "n2", "t1") is None
+    with pytest.raises(Refused):
+        work.save("ticket", ticket("z"))
+
+
+def test_mutations_replay(store):
+    store.write({"ticket": [ticket("a"), ticket("b"), ticket("c", "closed")]})
+    request = Request("open", ((Compare("status", Op.IN, ["open", "closed"]),),))
+    assert store.mutate("ticket", "close", request, "op-1") == (2, False)
+    assert store.mutate("ticket", "close", request, "op-1") == (2, True)
+    assert {r["status"] for r in store.read("ticket").collect()} == {"closed"}
+    with pytest.raises(Refused):
+        store.mutate("ticket", "drop", request, "op-1")
+    with pytest.raises(Declared):
+        store.mutate("ticket", "drop", Request("open"), "op-2")
+    assert store.mutate("ticket", "drop", request, "op-3") == (3, False)
+    assert store.read("ticket").count() == 0
+
+
+def test_one_writer_wins(spark, tmp_path):
+    a, b = (CommitLog(spark, f"file://{tmp_path}/log") for _ in range(2))
+    assert a.commit(-1, {"x": 1}) == 0
+    with pytest.raises(Conflict):
+        b.commit(-1, {"x": 2})
+    assert b.latest() == (0, {"x": 1})
+
+
+STREAM = Stream("logs", (StreamField("kind", Type.STRING), StreamField("sequence", Type.INT64, orderable=True)), high_water="sequence", max_batch=100)
+NOW = dt.datetime(2026, 7, 12, 12, tzinfo=dt.UTC)
+
+
+def batch(spark, *ids, sequence=5):
+    return spark.createDataFrame([(i, NOW.replace(tzinfo=None), "{}", "k", sequence) for i in ids], "record_id string, occurred_at timestamp, payload string, kind string, sequence long")
+
+
+def test_append_replay_trim(spark, tmp_path):
+    store = RecordStore(spark, f"file://{tmp_path}/rec", STREAM, clock=lambda: NOW)
+    assert store.append("t", "s", batch(spark, "a", "b"), NOW, "1").last_cursor == 2
+    assert store.append("t", "s", batch(spark, "a", "b"), NOW, "1").replayed
+    for ids, nonce in ((("a", "c"), "1"), (("c", "a"), "2"), (("d", "d"), "3")):
+        with pytest.raises(Rejected):
+            store.append("t", "s", batch(spark, *ids), NOW, nonce)
+    for at in (NOW + dt.timedelta(minutes=6), NOW - dt.timedelta(days=2)):
+        with pytest.raises(Rejected):
+            store.append("t", "s", batch(spark, "z"), at, "9")
+    store.append("t", "s", batch(spark, "c", sequence=9), NOW, "4")
+    assert store.trim("t", "s", 1).rows == 2
+    assert [r["record_id"] for r in store.read("t", "s").collect()] == ["c"]
+    assert store.trim("t", "s", 0).rows == 1
+    assert store.state("t", "s") == {"last_cursor": 3, "high_water": 9}
+    store.compact("t", "s")
+    assert store.append("t", "s", batch(spark, "e"), NOW, "5").last_cursor == 4
+    assert store.read("t", "s").count() == 1 and store.read("t", "other").count() == 0
+
+
+def test_streaming_ingestion(spark, tmp_path):
+    source = tmp_path / "in"
+    batch(spark, "a", "b", "c").write.json(str(source))
+    store = RecordStore(spark, f"file://{tmp_path}/rec", STREAM, clock=lambda: NOW)
+    stream = spark.readStream.schema(batch(spark, "a").schema).json(str(source))
+    for _ in range(2):  # the second run finds nothing new
+        append_stream(stream, store, "t", "s", str(tmp_path / "checkpoint"), NOW, once=True).awaitTermination(60)
+    assert sorted(r["record_id"] for r in store.read("t", "s").collect()) == ["a", "b", "c"]
+
+
+def test_exact_values(spark):
+    df = spark.createDataFrame([("1.00",), ("1e2",), ("1.005",), ("x",), ("9223372036854775807",), ("9223372036854775808",)], "s string")
+    rows = df.select(values.exact_decimal(F.col("s"), 6, 2).cast("string").alias("d"), values.exact_integer(F.col("s")).alias("i")).collect()
+    assert [r["d"] for r in rows] == ["1.00", "100.00", None, None, None, None]
+    assert [r["i"] for r in rows] == [1, 100, None, None, 9223372036854775807, None]
+
+
+def test_ticks(spark):
+    texts = ["2020-01-01T00:00:00Z", "2020-01-01T01:00:00.1234567+01:00", "2020-01-01T00:00:00", "2020-01-01T00:00:00.12345678Z", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(values.ticks_of_text(F.col("t"))).collect()] == [637134336000000000, 637134336001234567, None, None, None]
+
+
+def test_projection_keeps_digits(spark):
+    df = spark.createDataFrame([('{"a":{"b":1.005,"n":12345678901234567890}}',), ('{"a":{"b":1.00,"n":7}}',), ("{}",)], "document string")
+    rows = project(project(df, Field("a.b", Type.DECIMAL, precision=6, scale=2)), Field("a.n", Type.INT64)).collect()
+    assert [str(r["a.b"]) if r["a.b"] is not None else None for r in rows] == [None, "1.00", None]
+    assert [r["a.n"] for r in rows] == [None, 7, None]
+
+
+def test_evolution():
+    grown = Unit("ticket", (*TICKET.fields, Field("extra", Type.INT32)), id_policy=Policy.UNICODE_IGNORE_CASE)
+    assert additive_changes([TICKET], [grown, NOTE]) == [Change("add field", "ticket", "extra"), Change("create", "note")]
+    for old, new in (([grown], [TICKET]), ([TICKET], []), ([TICKET], [Unit("ticket", (Field("number", Type.INT32), *TICKET.fields[1:]), id_policy=TICKET.id_policy)])):
+        with pytest.raises(Declared):
+            additive_changes(old, new)
+
+
+def test_upgrades(spark):
+    up = Upgrades("3", {"1": ("2", lambda d: d | {"b": 1}), "2": ("3", lambda d: d | {"c": d["b"] + 1})})
+    df = spark.createDataFrame([("1", '{"a":0}'), ("3", '{"z":1}')], "schema_version string, document string")
+    assert {(r[0], r[1]) for r in up.read(df).collect()} == {("3", '{"a":0,"b":1,"c":2}'), ("3", '{"z":1}')}
+    with pytest.raises(Declared):
+        Upgrades("3", {"1": ("2", dict)})
+
+
+def test_guards(spark):
+    targets = spark.createDataFrame([(1, "x"), (2, None), (3, "y")], "k int, c string")
+    rows = spark.createDataFrame([(10, 1), (11, 2), (12, 9), (13, None)], "id int, ref int")
+    assert [r["k"] for r in joins.without_references(targets, rows, "k", "ref").collect()] == [3]
+    assert sorted(r["id"] for r in joins.related_not_equal(rows, "ref", targets, "k", "c", "x").collect()) == [11]
+
+
+def test_identities():
+    made = [identity.short_id() for _ in range(50)]
+    assert len(set(made)) == 50 and all(len(x) == 11 for x in made)
+    flake = identity.Snowflake(3)
+    numbers = [flake.next() for _ in range(5000)]
+    assert numbers == sorted(set(numbers))
+    assert identity.uuid7(0).startswith("00000000-0000-7")
+    assert identity.base62(61) == "z" and identity.base62(62) == "10"
