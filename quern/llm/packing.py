@@ -58,19 +58,18 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int =
     """doc_id, start, length, ids_crc32, doc_tokens: every document's ids and its end id, cut every capacity ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
-            for doc, ids in zip(b.column(0).to_pylist(), encoder(vocabulary).encode_bytes(b.column(1).to_pylist()), strict=True):
-                ids += end
-                n = len(ids) // 4
-                for at in range(0, n, capacity):
-                    part = ids[4 * at : 4 * (at + capacity)]
-                    for col, v in zip(cols, (doc, at, len(part) // 4, crc(part), n), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), encoder(vocabulary).encode(b.column(1)), strict=True):
+                ids = np.append(ids, end)
+                for at in range(0, len(ids), capacity):
+                    part = ids[at : at + capacity]
+                    for col, v in zip(cols, (doc, at, len(part), crc(part), len(ids)), strict=True):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2048)
     return docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(cut, _PIECES)
 
 

@@ -13,21 +13,23 @@ from quern.llm.common import ASCII_LOWER
 
 WORDS = 5
 #: Multipliers of the hashes, all odd.
-_BASE = 0x9E3779B97F4A7C15
+BASE = 0x9E3779B97F4A7C15
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _PLACES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, *range(9, 14)]] = True
-_BYTES = np.random.default_rng(5).integers(0, 1 << 64, 256, np.uint64)
+BYTE_VALUES = np.random.default_rng(5).integers(0, 1 << 64, 256, np.uint64)
 _powers: list[np.ndarray] = []
+#: Bytes that are hashed at a time, give or take a word.
+_CHUNK = 1 << 19
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _BASE and of its inverse modulo 2**64."""
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse modulo 2**64."""
     if len(_powers) < 2 or len(_powers[0]) < n:
         size = max(n, 1 << 16)
-        inverse = pow(_BASE, -1, 1 << 64)
-        for k, x in enumerate((_BASE, inverse)):
+        inverse = pow(BASE, -1, 1 << 64)
+        for k, x in enumerate((BASE, inverse)):
             steps = np.full(size, x, np.uint64)
             steps[0] = 1
             _powers[k:] = [np.cumprod(steps, dtype=np.uint64)]
@@ -43,19 +45,28 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and where each text's words begin in them (one more entry: their number)."""
-    joined = b" ".join(texts).translate(ASCII_LOWER)
-    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    begins = np.concatenate([[0], np.cumsum(sizes)])
-    b = np.frombuffer(joined, np.uint8)
-    if not len(b):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    apart = np.concatenate([[True], _SEPARATOR[b], [True]])
-    starts = np.flatnonzero(apart[:-1] & ~apart[1:])
-    ends = np.flatnonzero(~apart[:-1] & apart[1:])
-    powers, inverses = _power_tables(len(b) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[b] * powers[: len(b)], dtype=np.uint64)])
+    joined = np.frombuffer(b" ".join([*texts, b""]).translate(ASCII_LOWER), np.uint8)
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    apart = _SEPARATOR[joined]
+    hashes, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(joined):
+        end = at + _CHUNK
+        end = len(joined) if end >= len(joined) else end + int(apart[end:].argmax())  # a separator ends each chunk
+        own, first = _chunk_hashes(joined[at:end], apart[at:end])
+        hashes.append(own)
+        starts.append(first + at)
+        at = end
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), begins)
+
+
+def _chunk_hashes(b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the words of a run of bytes that neither begins nor ends within a word."""
+    edge = np.diff(np.concatenate([[True], apart, [True]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    powers, inverses = power_tables(len(b) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[b] * powers[: len(b)], dtype=np.uint64)])
     h = (sums[ends] - sums[starts]) * inverses[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(_BASE)), np.searchsorted(starts, begins)
+    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(BASE)), starts
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:

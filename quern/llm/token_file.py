@@ -29,17 +29,17 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_co
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        part, at, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4")
         for b in batches:
-            ids = [x + end for x in encoder(vocabulary).encode_bytes(b.column(1).to_pylist())]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
+            ids = [part for x in encoder(vocabulary).encode(b.column(1)) for part in (x, end)]
+            n = np.array([len(x) + 1 for x in ids[::2]], np.int64)
             ends = at + np.cumsum(n)
             offsets = np.concatenate([[0], ends - at]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([end[:0], *ids]).view("<i4")))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n), pa.array(n), lists], names=["doc_id", "part", "local_start", "n_tokens", "tokens"])
             at = int(ends[-1]) if len(n) else at
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2048)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     (
