@@ -47,7 +47,7 @@ def fingerprint(paths: tuple[str, ...] | list[str]) -> str:
 #: Roles as other layouts name them.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 LAYOUTS = (
-    Layout("turn rows", ("conv_id", "turn", "role", "text")),
+    Layout("turn rows", ("turn", "role", "text")),
     Layout("messages", ("messages[].role", "messages[].content"), messages=("messages", "role", "content")),
     Layout("from and value", ("conversations[].from", "conversations[].value"), messages=("conversations", "from", "value")),
     Layout("prompt and response", ("prompt", "response"), flat=(("user", "prompt"), ("assistant", "response"))),

@@ -47,6 +47,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs that stay, with all their columns."""
     key = lambda i, d: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), d)
     marks = mark_duplicates(docs, id_col, text_col, salts).filter("kept").select(key(F.col(id_col), F.col("text_sha256")).alias("_key"))
-    rows = docs.withColumn("_key", key(F.col(id_col), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), key(F.col(id_col), F.sha2(body, 256)).alias("_key"))  # other columns can't clash
     once = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    return rows.join(marks, "_key", "left_semi").withColumn("_once", once).filter("_once = 1").drop("_key", "_once")
+    return rows.join(marks, "_key", "left_semi").withColumn("once", once).filter("once = 1").select("row.*")

@@ -72,17 +72,17 @@ def _key(id_col: Column) -> Column:
     return F.md5(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary"))
 
 
-def positions(docs: DataFrame, targets: DataFrame, n_docs: int, id_col: str = "doc_id") -> DataFrame:
-    """docs with source and _size, plus source_idx, source_size, target, words and pos: the words of its source's shuffled stream before it.
+def positions(docs: DataFrame, targets: DataFrame, n_docs: int) -> DataFrame:
+    """docs (doc_id, source, _size and what else they carry), plus source_idx, source_size, target, words and pos: the words of its source's shuffled stream before it.
 
     A source of any size is split by the first digits of the shuffle key; only sums per part are added up in order.
     """
     digits = max(2, math.ceil(math.log(max(n_docs, 1) / 5000 + 1, 16)))
     rows = docs.join(targets.drop("n_docs").withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = rows.withColumn("_key", _key(F.col(id_col))).withColumn("_part", F.substring("_key", 1, digits))
+    rows = rows.withColumn("_key", _key(F.col("doc_id"))).withColumn("_part", F.substring("_key", 1, digits))
     earlier = Window.partitionBy("source_idx").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("source_idx", "_part").agg(F.sum("_size").alias("_n")).withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    within = Window.partitionBy("source_idx", "_part").orderBy("_key", id_col, "_size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source_idx", "_part").orderBy("_key", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_in", F.coalesce(F.sum("_size").over(within), F.lit(0)))
     return rows.join(sums, ["source_idx", "_part"]).withColumn("pos", F.col("_offset") + F.col("_in")).drop("_key", "_part", "_offset", "_in")
 
@@ -130,15 +130,12 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The words of a document that one epoch takes are always its first ones, as a target ends within one document at most.
     """
     sized, targets, n_docs = _prepare(docs, id_col, text_col)
-    placed = positions(docs.withColumn("_size", word_count(F.col(text_col))), targets, n_docs, id_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), "source", word_count(F.col(text_col)).alias("_size"), F.struct("*").alias("_row"))  # other columns can't clash
     light = stage(positions(sized, targets, n_docs), "mix-placed")
     taken = pieces(light, schedule(targets, block_words), block_words).groupBy("source_idx", "pos", "epoch").agg(F.sum("n_words").alias("_taken"))
-    first = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD_WITH_GAP), F.lit(0)), 1, F.col("_taken").cast("int")), "")
-    text = F.when(F.col("_taken") >= F.col("_size"), F.col(text_col)).otherwise(first)
-    rows = placed.filter("_size > 0").join(taken, ["source_idx", "pos"]).withColumn(text_col, text)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length(text_col).cast(dict(docs.dtypes)["n_chars"]))
-    return rows.select(*docs.columns)
-
-
-__all__ = ["mix_documents", "mix_plan", "mix_taken", "pieces", "positions", "schedule", "source_targets"]
+    mixed = positions(rows, targets, n_docs).filter("_size > 0").join(taken, ["source_idx", "pos"])
+    whole = F.col("_row")[text_col]
+    first = F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(WORD_WITH_GAP), F.lit(0)), 1, F.col("_taken").cast("int")), "")
+    mixed = mixed.withColumn("_text", F.when(F.col("_taken") >= F.col("_size"), whole).otherwise(first))
+    new = {text_col: F.col("_text"), "n_chars": F.length("_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return mixed.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
