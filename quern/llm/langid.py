@@ -22,7 +22,7 @@ from quern.llm.common import ASCII_LOWER, small_batches
 N_GRAMS, BITS = (1, 2, 3, 4), 14
 #: Bounds of the fit: labelled texts a language, languages, landmarks in all.
 SAMPLE_PER_LANGUAGE, MAX_LANGUAGES, LANDMARKS, RIDGE = 400, 128, 192, 0.1
-BATCH_TEXTS = 128
+BATCH_TEXTS = 32
 UNDECIDED = "und"
 #: Odd multipliers of the hashes of n-grams.
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
