@@ -159,7 +159,8 @@ def keep_identified(docs: DataFrame, model: Model | None, id_col: str = "doc_id"
 
     small_batches(docs.sparkSession)
     lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    return docs.select("*", F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_bytes"), lettered.alias("_lettered")).mapInArrow(sift, fields)
+    free = "_" * (1 + max(len(c) for c in docs.columns))  # a name that no column has
+    return docs.select("*", F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias(f"{free}bytes"), lettered.alias(f"{free}lettered")).mapInArrow(sift, fields)
 
 
 #: The best of the languages' regression values that a document must pass in the filter: -1 is "none of them", 1 "one of them".
