@@ -175,8 +175,8 @@ def first_order(spark, sf_dir):
 
 
 def page_with_total(spark, sf_dir):
-    df, request = orders(spark, sf_dir), Request("by total", (_c("status", Op.EQUAL, "P"),), take=20)
-    return documents.page_rows(df, ORDER, request).select("id", "total").join(F.broadcast(documents.count_rows(df, ORDER, request)))  # one row
+    page = documents.query_page(orders(spark, sf_dir), ORDER, Request("by total", (_c("status", Op.EQUAL, "P"),), take=20), total=True)
+    return page.rows.select("id", "total", F.lit(page.total).cast("long").alias("n"))
 
 
 def cursor_page(spark, sf_dir):
