@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ASCII_LOWER, small_batches
+from quern.llm.common import ASCII_LOWER, give_back, small_batches
 
 N_GRAMS, BITS = (1, 2, 3, 4), 14
 #: Bounds of the fit: labelled texts a language, languages, landmarks in all.
@@ -92,8 +92,8 @@ def labelled_sample(docs: DataFrame, seed: int = 6, per_language: int = SAMPLE_P
 def train(labelled: DataFrame) -> Model | None:
     """Fits on a bounded sample of labelled (doc_id, text, lang); None if nothing is labelled.
 
-    The indicators are made where the texts are; packed bits of at most SAMPLE_PER_LANGUAGE * MAX_LANGUAGES texts,
-    8 KB each, come to the driver.
+    The indicators are made where the texts are; packed bits of about 8 * SAMPLE_PER_LANGUAGE texts at most, 8 KB
+    each, come to the driver.
     """
     most = max(1, min(SAMPLE_PER_LANGUAGE, 8 * SAMPLE_PER_LANGUAGE // max(1, labelled.select("lang").distinct().limit(MAX_LANGUAGES).count())))
 
@@ -134,6 +134,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 for i, k, p in zip(at, raw.argmax(axis=1), chance.max(axis=1), strict=True):
                     lang[i], best[i] = known.languages[k], p
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang), pa.array(best)], names=[id_col, "lang_pred", "score"])
+        give_back()
 
     small_batches(docs.sparkSession)
     lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
@@ -156,6 +157,7 @@ def keep_identified(docs: DataFrame, model: Model | None, id_col: str = "doc_id"
             if len(at):
                 keep[at] = scores(known, [texts[int(i)].as_py() for i in at]).max(axis=1) > REJECT_BELOW
             yield b.select(range(b.num_columns - 2)).filter(pa.array(keep))
+        give_back()
 
     small_batches(docs.sparkSession)
     lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
