@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import counters
-from quern.llm.common import ASCII_LOWER, small_batches, stage
+from quern.llm.common import ASCII_LOWER, give_back, small_batches, stage
 
 #: Contexts, the first weights of their predictors, and the bits of the number of their slots.
 CONTEXTS, FIRST_WEIGHTS, SLOT_BITS = ("2 bytes", "3 bytes", "4 bytes", "5 bytes of the word"), (0.2, 0.3, 0.35, 0.2), (12, 14, 15, 14)
@@ -86,6 +86,7 @@ def count_contexts(train: DataFrame) -> DataFrame:
             for start, keys in zip(_STARTS, context_keys(padded), strict=False):
                 np.add.at(total, keys[real] + np.uint32(start), np.uint32(1))
         yield from counters.emit(total, len(total) // _PART, TaskContext.get().partitionId())
+        give_back()
 
     return train.select("body").mapInArrow(count, counters.SCHEMA)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import small_batches, stage
+from quern.llm.common import give_back, small_batches, stage
 from quern.llm.encoding import crc, encoder
 
 SEQUENCE = 4096
@@ -68,6 +68,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int =
                     for col, v in zip(cols, (doc, at, len(part), crc(part), len(ids)), strict=True):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        give_back()
 
     small_batches(docs.sparkSession, 2048)
     return docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(cut, _PIECES)

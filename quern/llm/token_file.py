@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh_path, small_batches
+from quern.llm.common import fresh_path, give_back, small_batches
 from quern.llm.encoding import crc, encoder
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
@@ -38,6 +38,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_co
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([end[:0], *ids]).view("<i4")))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n), pa.array(n), lists], names=["doc_id", "part", "local_start", "n_tokens", "tokens"])
             at = int(ends[-1]) if len(n) else at
+        give_back()
 
     small_batches(docs.sparkSession, 2048)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
