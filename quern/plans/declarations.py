@@ -182,6 +182,16 @@ def admitted(unit: Unit) -> Unit:
     return unit
 
 
+def compose(*groups: tuple[Unit, ...]) -> tuple[Unit, ...]:
+    """The units of several owners together; no two may share a name."""
+    units = tuple(u for g in groups for u in g)
+    names = [u.name for u in units]
+    twice = sorted({n for n in names if names.count(n) > 1})
+    if twice:
+        raise Declared(f"declared twice: {', '.join(twice)}")
+    return tuple(map(admitted, units))
+
+
 @dataclass(frozen=True)
 class StreamField:
     name: str

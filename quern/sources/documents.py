@@ -6,6 +6,7 @@ A batch of writes is one Spark job that rewrites the unit, and one commit. It is
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -29,6 +30,13 @@ def field_type(f: Field) -> T.DataType:
     return T.ArrayType(one) if f.collection else one
 
 
+def member(value: object, path: str) -> object:
+    """A member of nested objects by its dotted path; None where there is none."""
+    for key in path.split("."):
+        value = value.get(key) if isinstance(value, dict) else None
+    return value
+
+
 def unit_schema(unit: Unit) -> T.StructType:
     out = T._parse_datatype_string(ENVELOPE)
     for f in unit.fields:
@@ -92,6 +100,20 @@ class DocumentStore:
                 continue  # versions are checked anew against what was committed
         raise Conflict("other writers were always faster")
 
+    def save_json(self, unit: str, values: dict[str, dict], scope: str | None = None, expected: int | None = None) -> int:
+        """Writes JSON objects by id; the unit's fields are taken from them by their paths."""
+        u = self._units[unit]
+        return self.write({unit: [Save(i, json.dumps(v, separators=(",", ":")), {f.path: member(v, f.path) for f in u.fields}, expected, scope) for i, v in values.items()]})
+
+    def load_json(self, unit: str, document_id: str, scope: str | None = None) -> dict | None:
+        row = self.load(unit, document_id, scope)
+        return None if row is None else json.loads(row["document"])
+
+    def query_json(self, unit: str, request: Request, schema: str, scope: str | None = None) -> DataFrame:
+        """A page's documents as rows of a schema, with their ids."""
+        page = documents.page_rows(self.read(unit), self._units[unit], request, scope)
+        return page.select("id", F.from_json("document", schema).alias("j")).select("id", "j.*")
+
     def _publish(self, unit: str, rows: DataFrame) -> str:
         path = f"{self._log.folder}/{unit}/{uuid.uuid4().hex}"
         rows.write.parquet(path)

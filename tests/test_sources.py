@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions import identity, values
 from quern.functions.text import Policy
 from quern.operators import joins
-from quern.plans.declarations import Declared, Field, Mutation, Op, Query, Stream, StreamField, Type, Unit
+from quern.plans.declarations import Declared, Field, Mutation, Op, Query, Stream, StreamField, Type, Unit, compose
 from quern.plans.requests import Compare, Request
 from quern.sources.commits import CommitLog, Conflict
 from quern.sources.documents import Delete, DocumentStore, Refused, Save, UnitOfWork
@@ -80,6 +80,19 @@ def test_mutations_replay(store):
     assert store.read("ticket").count() == 0
 
 
+def test_json_helpers(store):
+    store.save_json("ticket", {"a": {"number": "1", "status": "open", "rank": 3, "x": {"y": [1]}}, "b": {"number": "2", "status": "open"}})
+    assert store.load_json("ticket", "A")["x"] == {"y": [1]} and store.load_json("ticket", "c") is None
+    rows = store.query_json("ticket", Request("open", ((Compare("status", Op.EQUAL, "open"),),)), "number string, rank int").collect()
+    assert [tuple(r) for r in rows] == [("a", "1", 3), ("b", "2", None)]
+
+
+def test_composition():
+    assert [u.name for u in compose((TICKET,), (NOTE,))] == ["ticket", "note"]
+    with pytest.raises(Declared):
+        compose((TICKET,), (TICKET,))
+
+
 def test_one_writer_wins(spark, tmp_path):
     a, b = (CommitLog(spark, f"file://{tmp_path}/log") for _ in range(2))
     assert a.commit(-1, {"x": 1}) == 0
