@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from quern.llm import counters
 from quern.llm.common import ASCII_LOWER, give_back, small_batches, stage
 
 #: Contexts, the first weights of their predictors, and the bits of the number of their slots.
-CONTEXTS, FIRST_WEIGHTS, SLOT_BITS = ("2 bytes", "3 bytes", "4 bytes", "5 bytes of the word"), (0.2, 0.3, 0.35, 0.2), (12, 14, 15, 14)
+CONTEXTS, FIRST_WEIGHTS, SLOT_BITS = ("2 bytes", "3 bytes", "4 bytes", "5 bytes of the word"), (0.2, 0.3, 0.35, 0.2), (12, 14, 16, 15)
 #: Rates of the weights and of the last stage, what is added to the counts of a bit, and the kinks of the last stage.
 RATE, REFINE_RATE, ADDED, KINKS = 0.2, 0.1, 0.3, (1.0, 3.0)
 SEGMENTS, LONGEST_SEGMENT = (64, 64, 128), 256
@@ -39,7 +40,7 @@ _PAD, _SCALE = 5, 16.0
 #: Counters of all contexts one after the other, cut into parts of so many.
 _STARTS = np.cumsum([0, *(1 << (b + 8) for b in SLOT_BITS)]).tolist()
 _PART = 1 << 16
-_LANE_BYTES, _LANES = 1 << 18, 32
+_LANE_BYTES, _LANES, _BUILD = 1 << 18, 32, 1 << 11
 #: Multipliers of the hashes of contexts.
 _HASH = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 _WORD_HASH = (0x165667B1, 0xD3A2646D, 0xFD7046C5, 0xB55A4F09, 0x2545F491)
@@ -106,7 +107,10 @@ class Mixer:
 
     def __init__(self, tables: np.ndarray, end_chance: float):
         nodes = [tables.reshape(-1)[i:j].reshape(-1, 256) for i, j in zip(_STARTS[:-1], _STARTS[1:], strict=True)]
-        self._paths = [(t[:, _NODE] * _SIGN).astype(np.int8).reshape(-1, 8).view(np.uint64).reshape(-1) for t in nodes]
+        self._paths = [np.empty(t.size, np.uint64) for t in nodes]  # for a slot and a byte, the signed log odds of its eight bits
+        for paths, t in zip(self._paths, nodes, strict=True):
+            for i in range(0, len(t), _BUILD):
+                paths[256 * i : 256 * (i + _BUILD)] = (t[i : i + _BUILD, _NODE] * _SIGN).reshape(-1, 8).view(np.uint64).reshape(-1)
         self._go, self._end = math.log10(1 - end_chance), math.log10(end_chance)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
@@ -186,11 +190,11 @@ def word_counts(blocked: DataFrame) -> DataFrame:
     """block, word, n (in the block's training documents), c (in all): one row for each block's distinct word."""
 
     def count(t: pa.Table) -> pa.Table:
-        seen: dict[bytes, int] = {}
+        seen: Counter[bytes] = Counter()
+        others: set[bytes] = set()
         for text, held in zip(t.column("body"), t.column("held_out").to_pylist(), strict=True):
-            step = 0 if held else 1
-            for w in words_of(text.as_py()):
-                seen[w] = seen.get(w, 0) + step
+            (others if held else seen).update(words_of(text.as_py()))
+        seen.update(dict.fromkeys(others.difference(seen), 0))
         seen[b""] = len(t) - sum(t.column("held_out").to_pylist())  # the end of a text
         return pa.table({"block": pa.array([t.column("block")[0].as_py()] * len(seen), pa.int32()), "word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
 
@@ -199,6 +203,13 @@ def word_counts(blocked: DataFrame) -> DataFrame:
     return pairs.withColumn("c", F.sum("n").over(over)).withColumn("first", F.min("block").over(over) == F.col("block"))
 
 
+class _Logs(dict):
+    """Log chances of words with a count; 0 for others."""
+
+    def __missing__(self, word: bytes) -> float:
+        return 0.0
+
+
 def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row.
 
@@ -217,18 +228,19 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     words = stage(word_counts(blocked), "lm-words")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("first") & (F.col("c") > 0), 1))).first()
     tables = counters.collected(count_contexts(train), log_odds, _STARTS[-1] // _PART, _PART, np.int8)
-    shared = spark.sparkContext.broadcast(zstandard.compress(tables.tobytes(), 3))  # a byte for each counter at most, 18 MB
+    shared = spark.sparkContext.broadcast(zstandard.compress(tables.tobytes(), 3))  # a byte for each counter at most, 30 MB
     chance = (texts + 1) / (learnt + texts + 2)
     of_none = math.log10(1 / (n + v + 1))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        counts = dict(zip(right.column("word").to_pylist(), right.column("c").to_pylist(), strict=True))
-        logs = {w: math.log10((c + 1) / (n + v + 1)) for w, c in counts.items() if c}
+        c = right.column("c").to_numpy()
+        values = np.where(c > 0, np.log10((c + 1) / (n + v + 1)), 0.0)
+        logs = _Logs(zip(right.column("word").to_pylist(), values.tolist(), strict=True))
         bodies = left.column("body").to_pylist()
         n_tokens, n_known, base = [], [], []
         for text in bodies:
-            own = [logs.get(w, 0.0) for w in words_of(text)]
-            own.append(logs.get(b"", 0.0))
+            own = list(map(logs.__getitem__, words_of(text)))
+            own.append(logs[b""])
             known = len(own) - own.count(0.0)
             n_tokens.append(len(own))
             n_known.append(known)
