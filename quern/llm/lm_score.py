@@ -40,7 +40,7 @@ _PAD, _SCALE = 5, 16.0
 #: Counters of all contexts one after the other, cut into parts of so many.
 _STARTS = np.cumsum([0, *(1 << (b + 8) for b in SLOT_BITS)]).tolist()
 _PART = 1 << 16
-_LANE_BYTES, _LANES, _BUILD = 1 << 18, 32, 1 << 11
+_LANE_BYTES, _LANES, _BUILD, _CHUNK = 1 << 18, 32, 1 << 11, 1 << 18
 #: Multipliers of the hashes of contexts.
 _HASH = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 _WORD_HASH = (0x165667B1, 0xD3A2646D, 0xFD7046C5, 0xB55A4F09, 0x2545F491)
@@ -84,8 +84,10 @@ def count_contexts(train: DataFrame) -> DataFrame:
             ends = np.cumsum([len(t) + _PAD for t in texts])[:-1] - _PAD
             for k in range(_PAD):
                 real[ends + k] = False
-            for start, keys in zip(_STARTS, context_keys(padded), strict=False):
-                np.add.at(total, keys[real] + np.uint32(start), np.uint32(1))
+            for i in range(0, len(real), _CHUNK):
+                own = real[i : i + _CHUNK]
+                for start, keys in zip(_STARTS, context_keys(padded[i : i + len(own) + _PAD]), strict=False):
+                    np.add.at(total, keys[own] + np.uint32(start), np.uint32(1))
         yield from counters.emit(total, len(total) // _PART, TaskContext.get().partitionId())
         give_back()
 
@@ -128,32 +130,39 @@ class Mixer:
             at += lanes
         return out
 
+    def _inputs(self, padded: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """For the bytes of each row from _PAD on: the signed log odds by context as (bit, text, byte), and the word gate."""
+        n, size = padded.shape[0], padded.shape[1] - _PAD
+        flat = np.concatenate([padded.reshape(-1), np.zeros(_PAD, np.uint8)])
+        signed = []
+        for paths, keys in zip(self._paths, context_keys(flat), strict=True):
+            own = paths[keys].reshape(n, size + _PAD)[:, :size]
+            signed.append(np.moveaxis(np.ascontiguousarray(own).view(np.int8).reshape(n, size, 8), 2, 0))
+        return signed, _IN_WORD[padded[:, _PAD - 1 : _PAD - 1 + size]].astype(np.float32)
+
     def _cost(self, texts: list[bytes], sizes: np.ndarray) -> np.ndarray:
-        """Natural-log cost of each text's bytes; the texts go side by side. Arrays are (bit, text, byte)."""
+        """Natural-log cost of each text's bytes; the texts go side by side, through a window over their bytes. Arrays are (bit, text, byte)."""
         n, most = len(texts), int(sizes.max())
         padded = np.zeros((n, most + _PAD), np.uint8)
         for row, t in zip(padded, texts, strict=True):
             row[_PAD : _PAD + len(t)] = np.frombuffer(t, np.uint8)
-        flat = np.concatenate([padded.reshape(-1), np.zeros(_PAD, np.uint8)])
-        signed = []
-        for paths, keys in zip(self._paths, context_keys(flat), strict=True):
-            own = paths[keys].reshape(n, most + _PAD)[:, :most]
-            signed.append(np.moveaxis(np.ascontiguousarray(own).view(np.int8).reshape(n, most, 8), 2, 0))
-        gate = _IN_WORD[padded[:, _PAD - 1 : _PAD - 1 + most]].astype(np.float32)
-        k = len(signed)
+        window = max(1, _LANE_BYTES // n // LONGEST_SEGMENT) * LONGEST_SEGMENT  # no segment crosses its ends
+        k = len(self._paths)
         weights = np.zeros((8, n, 2, k), np.float32)  # of a byte that follows no word, and what is added if it follows one
         weights[:, :, 0] = FIRST_WEIGHTS
         weights /= np.float32(_SCALE)
         refine = np.zeros((len(KINKS), 8, n, 1), np.float32)
         cost, start, turn = np.zeros(n), 0, 0
         while start < most:
+            if start % window == 0:
+                first, signed, gate = start, *self._inputs(padded[:, start : start + window + _PAD])
             stop = min(most, start + (SEGMENTS[turn] if turn < len(SEGMENTS) else LONGEST_SEGMENT))
             size = stop - start
             real = (np.arange(start, stop)[None] < sizes[:, None]).astype(np.float32)
-            inside = gate[:, start:stop]
+            inside = gate[:, start - first : stop - first]
             inputs = np.empty((8, n, k, size), np.float32)
             for i, x in enumerate(signed):
-                inputs[:, :, i] = x[:, :, start:stop]
+                inputs[:, :, i] = x[:, :, start - first : stop - first]
             both = weights @ inputs
             y = both[:, :, 1] * inside
             y += both[:, :, 0]
@@ -196,6 +205,7 @@ def word_counts(blocked: DataFrame) -> DataFrame:
             (others if held else seen).update(words_of(text.as_py()))
         seen.update(dict.fromkeys(others.difference(seen), 0))
         seen[b""] = len(t) - sum(t.column("held_out").to_pylist())  # the end of a text
+        give_back()
         return pa.table({"block": pa.array([t.column("block")[0].as_py()] * len(seen), pa.int32()), "word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
 
     pairs = blocked.groupBy("block").applyInArrow(count, "block int, word binary, n long")
@@ -246,6 +256,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
             n_known.append(known)
             base.append(math.fsum(own) + (len(own) - known) * of_none)
         scores = mixer(shared, chance).score(bodies)
+        give_back()
         bits = [-s / math.log10(2) / len(t) if t else None for s, t in zip(scores.tolist(), bodies, strict=True)]
         return pa.table({id_col: left.column("id"), "held_out": left.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([n] * len(bodies), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(scores), "bits_per_byte": pa.array(bits, pa.float64())})
 
