@@ -144,6 +144,15 @@ def _stream(columns: tuple[str, ...] = ("cursor",), **asked: object):
     return run
 
 
+def _matching(columns: tuple[str, ...] = ("cursor",), **asked: object):
+    """A stream query of all matching records, however many."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return streams.matching(events(spark, sf_dir), EVENTS, **asked).select(*columns)
+
+    return run
+
+
 def _groups(*aliases: str, **page: object):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = profile(*aliases)
@@ -331,17 +340,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "doc_selectivity_10pct": _all(LINE, lines, "scan", _c("quantity", Op.LESS_EQUAL, 5), columns=("id", "price")),
     "doc_selectivity_50pct": _all(LINE, lines, "scan", _c("quantity", Op.LESS_EQUAL, 25), columns=("id", "price")),
     "doc_selectivity_10pct_ordered": _doc(LINE, lines, "rank", _c("quantity", Op.LESS_EQUAL, 5), columns=("id", "price"), take=100),
-    "stream_equal": _stream(("cursor", "user"), where=Is("kind", "equal", ("CLICK",)), limit=100_000),
-    "stream_in": _stream(("cursor", "user"), where=Is("user", "in", ("3", "5", "8")), limit=100_000),
-    "stream_range": _stream(("cursor", "sequence"), where=Is("sequence", "between", (1000, 5000)), limit=100_000),
-    "stream_contains": _stream(("cursor", "kind"), where=Is("kind", "contains", ("UR",)), limit=100_000),
+    "stream_equal": _matching(("cursor", "user"), where=Is("kind", "equal", ("CLICK",))),
+    "stream_in": _matching(("cursor", "user"), where=Is("user", "in", ("3", "5", "8"))),
+    "stream_range": _matching(("cursor", "sequence"), where=Is("sequence", "between", (1000, 5000))),
+    "stream_contains": _matching(("cursor", "kind"), where=Is("kind", "contains", ("UR",))),
     "stream_contains_empty": _stream(("cursor",), where=Is("kind", "contains", ("",)), limit=500),
-    "stream_multiple": _stream(("cursor",), where=All((Is("tags", "in", ("T1", "t2")), Is("tags", "contains", ("LICK",)))), limit=100_000),
-    "stream_tree": _stream(("cursor",), where=All((Any((Is("kind", "equal", ("click",)), Is("kind", "equal", ("purchase",)))), Is("sequence", "between", (500, 9000)))), limit=100_000),
+    "stream_multiple": _matching(("cursor",), where=All((Is("tags", "in", ("T1", "t2")), Is("tags", "contains", ("LICK",))))),
+    "stream_tree": _matching(("cursor",), where=All((Any((Is("kind", "equal", ("click",)), Is("kind", "equal", ("purchase",)))), Is("sequence", "between", (500, 9000))))),
     "stream_field_order": _stream(("cursor", "sequence"), order="sequence", descending=True, limit=200),
     "stream_cursor_desc": _stream(("cursor",), where=Is("user", "equal", ("4",)), descending=True, limit=30),
     "stream_snapshot_page2": _stream(("cursor", "sequence"), order="sequence", limit=100, after=After(5000, 700, 900)),
-    "stream_latest_per_key": _stream(("cursor", "user"), where=Is("kind", "in", ("click", "view")), latest="user", limit=100_000),
+    "stream_latest_per_key": _matching(("cursor", "user"), where=Is("kind", "in", ("click", "view")), latest="user"),
     "stream_exact_count": exact_count,
     "stream_statistics": statistics,
     "stream_keep_newest": keep_newest,

@@ -1,4 +1,4 @@
-"""Grouped reduction of a stream's newest records by a declared profile, in one aggregation per kind of reducer."""
+"""Grouped reduction of a stream's records, or its newest ones, by a declared profile, in one aggregation per kind of reducer."""
 
 from __future__ import annotations
 
@@ -32,9 +32,11 @@ def reduce_groups(df: DataFrame, stream: Stream, profile: Profile, snapshot: int
     if group.multiple or group.type is not Type.STRING:
         raise Declared(f"{profile.group} can't group")
     limit = profile.input_limit if input_limit is None else input_limit
-    if not 1 <= limit <= profile.input_limit:
-        raise Declared(f"the input must be from 1 to {profile.input_limit} records")
-    rows = keep_newest(snapshot_rows(df, snapshot), limit)
+    if limit is not None and (limit < 1 or profile.input_limit is not None and limit > profile.input_limit):
+        raise Declared(f"the input must be at least 1 record and at most {profile.input_limit or 'all'}")
+    rows = snapshot_rows(df, snapshot)
+    if limit is not None:
+        rows = keep_newest(rows, limit)
     if where is not None:
         rows = rows.filter(predicate_column(stream, where))
     rows = rows.filter(F.col(profile.group).isNotNull()).withColumn("group_key", text.comparison_key(F.col(profile.group), group.policy))

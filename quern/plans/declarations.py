@@ -214,13 +214,13 @@ class Reducer:
 
 @dataclass(frozen=True)
 class Profile:
-    """A declared grouped reduction of a stream."""
+    """A declared grouped reduction of a stream: of its input_limit newest records, or of all if that is None."""
 
     name: str
     group: str
     reducers: tuple[Reducer, ...]
     orderable: frozenset[str] = frozenset()
-    input_limit: int = 1_000_000
+    input_limit: int | None = None
     max_take: int = 100
     max_union: int = 1000
 
