@@ -79,13 +79,10 @@ class RecordStore:
         rejected, as is a record id that the stream holds or the batch repeats.
         """
         log, operation = self._log(tenant, scope), f"{issued_at.isoformat()}|{nonce}"
-        schema = stream_schema(self._stream)
-        rows = records.select([F.col(f.name).cast(f.dataType) if f.name in records.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name != "cursor"])
-        n, ids, mark = rows.agg(F.count(F.lit(1)), F.count_distinct("record_id"), F.sum(F.xxhash64(*[F.col(c).cast("string") for c in rows.columns]).cast("decimal(38,0)"))).first()
+        rows = self._typed(records)
+        n, mark = self._seen(rows)
         if n > self._stream.max_batch:
             raise Declared(f"a batch has at most {self._stream.max_batch} records")
-        if ids < n:
-            raise Rejected("the batch repeats a record id, or lacks one")
         for _ in range(5):
             at, state = log.latest()
             ledger = dict(state.get("appends", {}))
@@ -95,25 +92,81 @@ class RecordStore:
                 return Outcome(ledger[operation]["rows"], ledger[operation]["last"], True)
             clock = max(self._clock().timestamp(), state.get("clock", 0.0))
             self._admit(issued_at, clock)
-            if not self._rows(state).select("record_id").join(rows.select("record_id"), "record_id", "left_semi").isEmpty():
-                raise Rejected("the stream holds a record id of the batch")
             last = state.get("last_cursor", 0)
             placed = rows.withColumn("cursor", F.row_number().over(Window.orderBy("occurred_at", "record_id")) + F.lit(last))  # max_batch rows at most
-            path = f"{log.folder}/{uuid.uuid4().hex}"
-            placed.select(schema.names).write.parquet(path)
-            high = state.get("high_water")
-            if self._stream.high_water and n:
-                seen = rows.agg(F.max(self._stream.high_water)).first()[0]
-                high = seen if high is None else high if seen is None else max(high, seen)
+            added = self._added(log, state, rows, placed, n)
             ledger[operation] = {"mark": f"{n}:{mark}", "rows": n, "last": last + n, "until": clock + 2 * (self._window + self._skew).total_seconds()}
             ledger = {k: v for k, v in ledger.items() if v["until"] >= clock}  # by then the operation is too old to be admitted
             try:
-                log.commit(at, {**state, "parts": [*state.get("parts", []), path], "last_cursor": last + n, "high_water": high, "clock": clock, "appends": ledger})
+                log.commit(at, {**state, **added, "clock": clock, "appends": ledger})
             except Conflict:
                 continue
             return Outcome(n, last + n)
         raise Conflict("other writers were always faster")
 
+    def append_numbered(self, tenant: str, scope: str, records: DataFrame, source: str, number: int) -> Outcome:
+        """Appends a batch of any size, whenever it comes, as number of its source; numbers of a source rise.
+
+        The source's last number with the same records again gives its first outcome; other records or a smaller number
+        are rejected, as is a record id that the stream holds or the batch repeats.
+        """
+        log, rows = self._log(tenant, scope), self._typed(records)
+        n, mark = self._seen(rows)
+        scratch, ranged = f"{log.folder}/{uuid.uuid4().hex}", None
+        for _ in range(5):
+            at, state = log.latest()
+            held = state.get("sources", {}).get(source)
+            if held and number <= held["number"]:
+                if number < held["number"] or held["mark"] != f"{n}:{mark}":
+                    raise Rejected("the operation was another one")
+                return Outcome(held["rows"], held["last"], True)
+            last = state.get("last_cursor", 0)
+            ranged = ranged or self._ranged(scratch, rows)
+            added = self._added(log, state, rows, ranged.withColumn("cursor", F.col("cursor") + F.lit(last)), n)
+            sources = {**state.get("sources", {}), source: {"number": number, "mark": f"{n}:{mark}", "rows": n, "last": last + n}}
+            try:
+                log.commit(at, {**state, **added, "sources": sources})
+            except Conflict:
+                continue
+            log.drop(scratch)
+            return Outcome(n, last + n)
+        raise Conflict("other writers were always faster")
+
+    def _typed(self, records: DataFrame) -> DataFrame:
+        return records.select([F.col(f.name).cast(f.dataType) if f.name in records.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in stream_schema(self._stream) if f.name != "cursor"])
+
+    def _seen(self, rows: DataFrame) -> tuple[int, object]:
+        """How many records a batch has, and a checksum of them."""
+        n, ids, mark = rows.agg(F.count(F.lit(1)), F.count_distinct("record_id"), F.sum(F.xxhash64(*[F.col(c).cast("string") for c in rows.columns]).cast("decimal(38,0)"))).first()
+        if ids < n:
+            raise Rejected("the batch repeats a record id, or lacks one")
+        return n, mark
+
+    def _ranged(self, path: str, rows: DataFrame) -> DataFrame:
+        """rows with cursor, from 1 on in the order of occurred_at and record_id: ranges are sorted in tasks of their own, their sizes are added up."""
+        placed = rows.repartitionByRange("occurred_at", "record_id").sortWithinPartitions("occurred_at", "record_id").withColumn("_place", F.monotonically_increasing_id())
+        placed.write.parquet(path)
+        placed = self._spark.read.schema(placed.schema).parquet(path).withColumn("_range", F.shiftright("_place", 33))
+        before, at = {}, 0
+        for r in sorted(placed.groupBy("_range").count().collect()):  # a row for each partition of the shuffle
+            before[r["_range"]], at = at, at + r["count"]
+        if not before:
+            return placed.withColumn("cursor", F.col("_place")).drop("_place", "_range")
+        first = F.create_map(*[F.lit(x).cast("long") for pair in before.items() for x in pair])[F.col("_range")]
+        return placed.withColumn("cursor", first + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + F.lit(1)).drop("_place", "_range")
+
+    def _added(self, log: CommitLog, state: dict, rows: DataFrame, placed: DataFrame, n: int) -> dict:
+        """Writes the n rows as placed; what that changes of the state."""
+        if not self._rows(state).select("record_id").join(rows.select("record_id"), "record_id", "left_semi").isEmpty():
+            raise Rejected("the stream holds a record id of the batch")
+        path = f"{log.folder}/{uuid.uuid4().hex}"
+        placed.select(stream_schema(self._stream).names).write.parquet(path)
+        high = state.get("high_water")
+        if self._stream.high_water and n:
+            seen = rows.agg(F.max(self._stream.high_water)).first()[0]
+            high = seen if high is None else high if seen is None else max(high, seen)
+        return {"parts": [*state.get("parts", []), path], "last_cursor": state.get("last_cursor", 0) + n, "high_water": high}
+
     def trim(self, tenant: str, scope: str, keep: int) -> Outcome:
         """Keeps the newest records; how many went. Cursors and high water stay."""
         log = self._log(tenant, scope)
