@@ -9,8 +9,9 @@ all texts are scored by products of that matrix with batches of indicators.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,9 @@ N_GRAMS, BITS = (1, 2, 3, 4), 14
 #: Bounds of the fit: labelled texts a language, languages, landmarks in all.
 SAMPLE_PER_LANGUAGE, MAX_LANGUAGES, LANDMARKS, RIDGE = 400, 128, 192, 0.1
 BATCH_TEXTS = 32
+#: Of the filter: shorter texts aren't told from noise; the share of held-back rows that may lie below the floor, and
+#: of how many rows the floor's distance from the median is given away.
+SHORT_BYTES, HELD_GRAMS, BELOW, UNSURE_ROWS = 256, 96, 0.005, 40
 UNDECIDED = "und"
 #: Odd multipliers of the hashes of n-grams.
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
@@ -32,6 +36,7 @@ _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 class Model:
     languages: tuple[str, ...]
     weights: np.ndarray  # (len(N_GRAMS) * 2**BITS, languages), float32
+    floor: float = -math.inf  # the best value that a text of a learned language has at least
 
 
 def presence(texts: list[bytes]) -> np.ndarray:
@@ -74,6 +79,23 @@ def fit(indicators: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, r
     return Model(languages, (marks.T.astype(np.float64) @ (root @ solved)).astype(np.float32))
 
 
+def held_back_floor(indicators: np.ndarray, labels: list[str]) -> float:
+    """The value that practically all rows of the last quarter, which is not learned here, exceed; lower if they are few.
+
+    It is 0.5 at most, half way from texts unlike all learned ones (near 0 or below, as there is no intercept) to alike ones.
+    """
+    cut = len(labels) * 3 // 4
+    if not cut:
+        return -math.inf
+    weights = fit(indicators[:cut], labels[:cut]).weights
+    long = [i for i in range(cut, len(labels)) if int(indicators[i, -1].sum()) >= HELD_GRAMS]
+    if not long:
+        return -math.inf
+    best = np.sort(np.concatenate([(normalised(indicators[long[i : i + BATCH_TEXTS]]) @ weights).max(axis=1) for i in range(0, len(long), BATCH_TEXTS)]))
+    low = float(best[int(len(best) * BELOW)])
+    return min(0.5, low - (float(np.median(best)) - low) * UNSURE_ROWS / len(best))
+
+
 def scores(model: Model, texts: list[bytes]) -> np.ndarray:
     return np.concatenate([normalised(presence(texts[i : i + BATCH_TEXTS])) @ model.weights for i in range(0, len(texts), BATCH_TEXTS)])
 
@@ -89,8 +111,8 @@ def labelled_sample(docs: DataFrame, seed: int = 6, per_language: int = SAMPLE_P
     return rows.filter(point < shares[F.col("lang")])
 
 
-def train(labelled: DataFrame) -> Model | None:
-    """Fits on a bounded sample of labelled (doc_id, text, lang); None if nothing is labelled.
+def train(labelled: DataFrame, floor: bool = False) -> Model | None:
+    """Fits on a bounded sample of labelled (doc_id, text, lang), with the filter's floor if asked; None if nothing is labelled.
 
     The indicators are made where the texts are; packed bits of about 8 * SAMPLE_PER_LANGUAGE texts at most, 8 KB
     each, come to the driver.
@@ -110,7 +132,8 @@ def train(labelled: DataFrame) -> Model | None:
     rows.sort(key=lambda r: ((-1 if r["doc_id"] is None else r["doc_id"]) * 0x9E3779B1 % (1 << 32), r["lang"], bytes(r["bits"])))
     shape = (len(rows), len(N_GRAMS), 1 << BITS)
     indicators = np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), np.uint8)).reshape(shape)
-    return fit(indicators, [r["lang"] for r in rows])
+    labels = [r["lang"] for r in rows]
+    return replace(fit(indicators, labels), floor=held_back_floor(indicators, labels) if floor else -math.inf)
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,7 +166,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
 
 def keep_identified(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, in which a language is found; rows without letters or text go."""
+    """The rows of docs, all columns, in which a language is found. Rows without letters or text go, and those of SHORT_BYTES or more below the model's floor."""
     fields = docs.schema
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -155,7 +178,8 @@ def keep_identified(docs: DataFrame, model: Model | None, id_col: str = "doc_id"
             keep = np.zeros(len(lettered), bool)
             at = np.flatnonzero(lettered) if known else np.array([], int)
             if len(at):
-                keep[at] = scores(known, [texts[int(i)].as_py() for i in at]).max(axis=1) > REJECT_BELOW
+                own = [texts[int(i)].as_py() for i in at]
+                keep[at] = (scores(known, own).max(axis=1) > known.floor) | (np.array([len(t) for t in own]) < SHORT_BYTES)
             yield b.select(range(b.num_columns - 2)).filter(pa.array(keep))
         give_back()
 
@@ -163,7 +187,3 @@ def keep_identified(docs: DataFrame, model: Model | None, id_col: str = "doc_id"
     lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     free = "_" * (1 + max(len(c) for c in docs.columns))  # a name that no column has
     return docs.select("*", F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias(f"{free}bytes"), lettered.alias(f"{free}lettered")).mapInArrow(sift, fields)
-
-
-#: The best of the languages' regression values that a document must pass in the filter: -1 is "none of them", 1 "one of them".
-REJECT_BELOW = -0.95
