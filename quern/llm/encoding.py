@@ -1,7 +1,8 @@
 """Encoding with files of the tokenizers library, with a bounded cache of the pieces between single separators.
 
 Both vocabularies split a text at a single space or line feed between two other characters before anything else, so
-the ids of a text are those of its pieces in order. A text where white space stands otherwise is encoded as a whole.
+the ids of a text are those of its pieces in order. A text where white space stands otherwise, or which may hold the
+string of an added token, is encoded as a whole.
 Pieces are found, hashed and looked up by array operations; only unseen ones become strings. The cache knows a piece
 by a 64-bit hash of its bytes, length and separator: two of a million pieces share one with a chance of about 3e-8.
 """
@@ -38,7 +39,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: How added tokens begin; the library looks for them before anything else, so a text that may hold one is encoded as a whole.
+        self._openings = sorted({t.content[:2] for t in self._tokenizer.get_added_tokens_decoder().values()})
         self._bits = cache_bits
         #: What parts pieces that are encoded together, and its only id: a line feed, or a control where white space has no id.
         self._mark = "\n" if self._run(["\n"])[0] else " \x01 "
@@ -183,7 +185,7 @@ class PieceEncoder:
                 stopped.append((x, i))
             elif not x:
                 values[i] = b"" if k == _BARE else None
-            elif x != x.strip() or "\x01" in x or "᠎" in x or "\x85" in x:
+            elif x != x.strip() or "\x01" in x or "᠎" in x or "\x85" in x or any(o in x for o in self._openings):
                 values[i] = None
             else:
                 todo[k == _AFTER_SPACE].append((x, i))
