@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from quern.llm.common import ASCII_LOWER, give_back, small_batches
 
 N_GRAMS, BITS = (1, 2, 3, 4), 14
-#: Bounds of the fit: labelled texts a language, languages, landmarks in all.
-SAMPLE_PER_LANGUAGE, MAX_LANGUAGES, LANDMARKS, RIDGE = 400, 128, 192, 0.1
+#: Bounds of the fit: labelled texts a language and in all, and landmarks (one a language if there are more languages).
+SAMPLE_PER_LANGUAGE, SAMPLE_TEXTS, LANDMARKS, RIDGE = 400, 3200, 192, 0.1
+#: More languages than this are an error: their weights (256 KB each) would not fit a worker.
+MAX_LANGUAGES = 512
 BATCH_TEXTS = 32
 #: Of the filter: shorter texts aren't told from noise; the share of held-back rows that may lie below the floor, and
 #: of how many rows the floor's distance from the median is given away.
@@ -65,7 +67,7 @@ def fit(indicators: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, r
     languages = tuple(sorted(set(labels)))
     seen = dict.fromkeys(languages, 0)
     turn = [(seen.__setitem__(x, seen[x] + 1), seen[x])[1] for x in labels]
-    chosen = sorted(range(len(labels)), key=lambda i: (turn[i], i))[:landmarks]
+    chosen = sorted(range(len(labels)), key=lambda i: (turn[i], i))[: max(landmarks, len(languages))]
     marks = normalised(indicators[chosen])
     k_nm = np.concatenate([normalised(indicators[i : i + BATCH_TEXTS]) @ marks.T for i in range(0, len(labels), BATCH_TEXTS)]).astype(np.float64)
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
@@ -100,13 +102,19 @@ def scores(model: Model, texts: list[bytes]) -> np.ndarray:
     return np.concatenate([normalised(presence(texts[i : i + BATCH_TEXTS])) @ model.weights for i in range(0, len(texts), BATCH_TEXTS)])
 
 
-def labelled_sample(docs: DataFrame, seed: int = 6, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """About per_language rows with text and lang for each of the MAX_LANGUAGES most frequent languages, whatever the input's size."""
+def labelled_sample(docs: DataFrame, seed: int = 6) -> DataFrame:
+    """Rows with text and lang: of every language SAMPLE_PER_LANGUAGE or an equal share of SAMPLE_TEXTS, about; all rows if it has fewer.
+
+    More than MAX_LANGUAGES languages are an error; none is left out.
+    """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if not counts:
         return rows.limit(0)
-    shares = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled")
+    most = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE_TEXTS // len(counts)))
+    shares = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, most / r["count"])))])
     point = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     return rows.filter(point < shares[F.col("lang")])
 
@@ -114,10 +122,9 @@ def labelled_sample(docs: DataFrame, seed: int = 6, per_language: int = SAMPLE_P
 def train(labelled: DataFrame, floor: bool = False) -> Model | None:
     """Fits on a bounded sample of labelled (doc_id, text, lang), with the filter's floor if asked; None if nothing is labelled.
 
-    The indicators are made where the texts are; packed bits of about 8 * SAMPLE_PER_LANGUAGE texts at most, 8 KB
-    each, come to the driver.
+    The indicators are made where the texts are; packed bits of about SAMPLE_TEXTS texts at most, 8 KB each, come to
+    the driver.
     """
-    most = max(1, min(SAMPLE_PER_LANGUAGE, 8 * SAMPLE_PER_LANGUAGE // max(1, labelled.select("lang").distinct().limit(MAX_LANGUAGES).count())))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,7 +132,7 @@ def train(labelled: DataFrame, floor: bool = False) -> Model | None:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits, pa.binary()), b.column(2)], names=["doc_id", "bits", "lang"])
 
     small_batches(labelled.sparkSession)
-    sample = labelled_sample(labelled, per_language=most).select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), "lang")
+    sample = labelled_sample(labelled).select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), "lang")
     rows = sample.mapInArrow(pack, "doc_id long, bits binary, lang string").collect()
     if not rows:
         return None

@@ -43,6 +43,7 @@ def corpus():
         rows.append([i, " ".join(own), "en", "hot", 0])
     rows += [[60, rows[3][1], "en", "hot", 0], [61, rows[3][1], "en", None, 0], [61, rows[3][1], "en", None, 0]]
     rows += [[62, None, None, None, None], [63, "", "en", "a", 0], [64, " \t\n ", "de", "b", 3], [None, "no id here at all", "en", "a", 1], [65, "one two", None, "é", 0], [66, "12 34 !?", "en", "a", 0]]
+    rows += [[70, "a <|endoftext|> b<|startoftext|>c", "en", "a", 0], [71, "<|ENDOFTEXT|> <|endoftext", "en", "a", 0]]
     rows += [[67, "long " * 30_000 + "end", "en", "hot", 0], [68, "a\x00b ﷽ \U0001f600\x0b\x0cq", "en", "b", 0], [69, "One Two", None, "é", 0]]
     return [tuple(r) for r in rows]
 
@@ -228,18 +229,16 @@ ALPHABET = "ab Z.,\n\t'1é Σ́#\x01\x00"
 
 
 @pytest.mark.parametrize("path", [BYTE, WORDS])
-@given(st.lists(st.text(ALPHABET, max_size=30), max_size=6))
-@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*ALPHABET, "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "<"]), max_size=30).map("".join), max_size=6))
+@settings(max_examples=200, deadline=None)
 def test_encoder_is_the_tokenizers_own(path, texts):
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     assert [x.tolist() for x in encoding.encoder(path).encode(texts)] == [x.ids for x in own.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_encoder_forgets(spark):
     small, own = encoding.PieceEncoder(BYTE, cache_bits=8), Tokenizer.from_file(BYTE)
     texts = [f"w{i} x{i}, y{i}.\nZ{i}" for i in range(40)] + ["<|endoftext|>  two", "the " * 400_000]
-    own.encode_special_tokens = True
     want = [x.ids for x in own.encode_batch(texts, add_special_tokens=False)]
     for _ in range(2):
         assert [x.tolist() for t in texts for x in small.encode([t])] == want
@@ -247,7 +246,6 @@ def test_encoder_forgets(spark):
 
 def test_token_files(spark, docs, empty):
     own = Tokenizer.from_file(BYTE)
-    own.encode_special_tokens = True
     rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     path = fresh_path(spark, "test-tokens")
     token_file.write_tokens(docs, path, BYTE, 0, row_group_bytes=1 << 16)
@@ -268,7 +266,6 @@ def test_token_files(spark, docs, empty):
 
 def test_packing(spark, docs, empty):
     own = Tokenizer.from_file(WORDS)
-    own.encode_special_tokens = True
     got = packing.pack(docs, WORDS, 2, group_pieces=16).collect()
     want = Counter()
     for r in docs.select("doc_id", "text").collect():
@@ -314,10 +311,8 @@ def test_language_id(spark, docs, empty):
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
     assert len(got) == 240 and sum(got[i]["lang_pred"] == lang for i, _, lang in held) >= 0.97 * len(held)
     assert all(0 <= g["score"] <= 1 for g in got.values())
-    raw = langid.scores(model, [t.encode() for _, t, _ in rows[:5]])  # the collapsed product against kernels summed one by one
-    assert raw.argmax(axis=1).tolist() == [model.languages.index(got[i]["lang_pred"]) for i in range(5)]
     odd = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
-    assert len(odd) == 71 and all(odd[i]["lang_pred"] == "und" and odd[i]["score"] == 0 for i in (62, 63, 64, 66))
+    assert len(odd) == 73 and all(odd[i]["lang_pred"] == "und" and odd[i]["score"] == 0 for i in (62, 63, 64, 66))
     assert langid.predict(empty, model).count() == 0 == langid.keep_identified(empty, model).count()
     nothing = langid.train(labelled.filter("false"))
     assert nothing is None and {r["lang_pred"] for r in langid.predict(labelled, nothing).collect()} == {"und"}
@@ -337,6 +332,31 @@ def test_kernel_is_the_blended_spectrum():
             assert math.isclose(float(got[a] @ got[b]), want, abs_tol=1e-5)
 
 
+def test_fit_is_kernel_ridge_regression():
+    """With every text a landmark, Nyström is exact: the scores are those of a dense weighted kernel ridge solve."""
+    rng, parts = random.Random(7), {"en": ["the", "ing", "wh"], "fr": ["eau", "qui", "les"], "de": ["ung", "sch", "ein"]}
+    labels = [rng.choice(["en", "en", "fr", "de"]) for _ in range(40)]
+    text = lambda x: " ".join(rng.choice(parts[x]) + rng.choice("abcde") for _ in range(12)).encode()
+    texts, asked = [text(x) for x in labels], [text(x) for x in ("en", "fr", "de")]
+    model = langid.fit(langid.presence(texts), labels, landmarks=40)
+    own, other = (langid.normalised(langid.presence(x)).astype(np.float64) for x in (texts, asked))  # the blended spectrum, as tested above
+    k = own @ own.T
+    w = np.array([len(labels) / len(model.languages) / labels.count(x) for x in labels])
+    y = np.array([[1.0 if x == lang else -1.0 for lang in model.languages] for x in labels])
+    alpha = np.linalg.solve(k + langid.RIDGE * len(labels) / 100 * np.diag(1 / w), y)
+    want = (other @ own.T) @ alpha
+    assert np.allclose(langid.scores(model, asked), want, atol=2e-3)
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    rows = [(i, f"x{i % 200} word{i % 200}y", f"l{i % 200:03d}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(langid.train(df).languages) == 200
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 199)
+    with pytest.raises(ValueError, match="199 languages"):
+        langid.train(df)
+
+
 def brute_tables(texts):
     total = np.zeros(lm_score._STARTS[-1], np.uint64)
     for t in texts:
