@@ -100,31 +100,52 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
 
 
 def json_fingerprints(records: DataFrame, json_col: str) -> DataFrame:
-    """records with the column fingerprint: of the known paths that each JSON object has; null if it is no object."""
+    """records with the column fingerprint: of the known paths that each JSON object has; null if it is no object.
+
+    Of an array, the paths of all its elements count, those that any layout's messages have. An element without any,
+    or one that is no object, adds a path that no layout knows: nothing in it could be kept.
+    """
     doc = F.col(json_col)
     paths = F.json_object_keys(doc)
-    for array in ("messages", "conversations"):
-        nested = F.json_object_keys(F.get_json_object(doc, f"$.{array}[0]"))
+    nested = F.array(*[F.lit(k) for k in sorted({k for x in LAYOUTS if x.messages for k in x.messages[1:]})])
+    for array in sorted({x.messages[0] for x in LAYOUTS if x.messages}):
         lead = F.lit(f"{array}[].")
-        paths = F.concat(paths, F.coalesce(F.transform(nested, lambda k: F.concat(lead, k)), F.array().cast("array<string>")))  # noqa: B023
-    known = F.array_sort(F.array_intersect(paths, F.array(*[F.lit(p) for p in KNOWN])))
-    return records.withColumn("fingerprint", F.sha2(F.concat_ws("\n", known), 256)).withColumn("fingerprint", F.when(paths.isNotNull(), F.col("fingerprint")))
+        elements = F.from_json(F.get_json_object(doc, f"$.{array}"), "array<string>")
+        own = lambda e: F.coalesce(F.array_intersect(F.json_object_keys(e), nested), F.array().cast("array<string>"))  # noqa: B023, E731
+        named = F.transform(elements, lambda e: F.when(F.size(own(e)) > 0, own(e)).otherwise(F.array(F.lit(""))))  # noqa: B023
+        paths = F.concat(paths, F.coalesce(F.transform(F.array_distinct(F.flatten(named)), lambda k: F.concat(lead, k)), F.array().cast("array<string>")))  # noqa: B023
+    top, inner = F.array(*[F.lit(p) for p in KNOWN]), F.filter(paths, lambda p: F.contains(p, F.lit("[].")))
+    known = F.array_sort(F.array_distinct(F.concat(F.array_intersect(paths, top), inner)))
+    return records.withColumn("fingerprint", F.when(paths.isNotNull(), F.sha2(F.concat_ws("\n", known), 256)))
 
 
 def canonical_turns_json(records: DataFrame, json_col: str, id_col: str = "conv_id") -> tuple[DataFrame, DataFrame]:
-    """(turns, records of no known layout with their fingerprint) of records in any mix of layouts."""
+    """(turns, records of no known layout with their fingerprint) of records in any mix of layouts.
+
+    A record is parsed once, by the union of the layouts' fields. Messages that mix the fields of several layouts, or
+    hold an element with none, make their record one of no known layout; a missing field beside a known one is empty.
+    """
     marked = json_fingerprints(records, json_col)
-    out = None
+    arrays = {x.messages for x in LAYOUTS if x.messages}
+    flat = sorted({p for x in LAYOUTS if not x.messages for p in x.paths})
+    kind = ", ".join([f"`{p}` string" for p in flat] + [f"`{a}` array<struct<`{r}`: string, `{t}`: string>>" for a, r, t in sorted(arrays)])
+    names = F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair])
+    turn = lambda at, role, text: F.struct(at.cast("long").alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    found = None
     for layout in LAYOUTS:
+        j = lambda p: F.col("_json")[p]
         if layout.messages:
             array, role, text = layout.messages
-            kind = f"{array} array<struct<`{role}`: string, `{text}`: string>>"
+            made = F.transform(j(array), lambda m, i: turn(i, F.coalesce(names[m[role]], m[role]), m[text]))  # noqa: B023
+        elif layout.flat:
+            made = F.array(*[turn(F.lit(i), F.lit(r), j(p)) for i, (r, p) in enumerate(layout.flat)])
         else:
-            kind = ", ".join(f"`{p}` string" for p in layout.paths)
-        own = marked.filter(F.col("fingerprint") == layout.fingerprint).select(F.col(id_col).alias("_id"), F.from_json(json_col, kind).alias("j")).select("_id", "j.*")
-        turns = _turns(own, layout, F.col("_id"))
-        out = turns if out is None else out.unionByName(turns)
-    return out, marked.filter(F.coalesce(~F.col("fingerprint").isin([x.fingerprint for x in LAYOUTS]), F.lit(True)))
+            made = F.array(turn(j("turn"), j("role"), j("text")))
+        own = F.col("fingerprint") == layout.fingerprint
+        found = F.when(own, made) if found is None else found.when(own, made)
+    parsed = marked.select(F.col(id_col).cast("long").alias("conv_id"), "fingerprint", F.from_json(json_col, kind).alias("_json"))
+    turns = parsed.select("conv_id", F.explode(found).alias("t")).select("conv_id", "t.turn", "t.role", "t.text")
+    return turns, marked.filter(F.coalesce(~F.col("fingerprint").isin([x.fingerprint for x in LAYOUTS]), F.lit(True)))
 
 
 def escape(text: Column) -> Column:

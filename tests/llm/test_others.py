@@ -91,12 +91,10 @@ def test_chat(spark):
         by[c].append((t, r or "", x or ""))
     assert set(got) == set(by)
     for c, held in by.items():
-        held = held if c == 2 else sorted(held, key=lambda x: (x[0] is not None, x[0] or 0))
-        held = [held[1], held[0]] if c == 2 else held  # the tie goes by what is written: "### =:" after "### =judge"
+        held = sorted(held, key=lambda x: (x[0] is not None, x[0] or 0))  # the tie of 2 goes by what is written: "### =:" before "### =judge"
         turns, loss = "".join(f"{r}\n{x}\n" for _, r, x in held), "".join(x for _, r, x in held if r == "assistant")
         g = got[c]
-        ways = {hashlib.sha256(turns.encode()).hexdigest(), hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in held[::-1]).encode()).hexdigest() if c == 2 else ""}
-        assert g["n_turns"] == len(held) and g["turns_sha256"] in ways
+        assert g["n_turns"] == len(held) and g["turns_sha256"] == hashlib.sha256(turns.encode()).hexdigest()
         assert (g["loss_chars"], g["loss_sha256"], g["formatted_chars"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest(), pieces[c])
     assert chat.format_and_digest(df.filter("false")).count() == 0
 
@@ -112,14 +110,21 @@ def test_layouts(spark):
         "nope",
         None,
         '{"messages":[]}',
+        '{"messages":[{"content":"q","role":"user"},{"from":"gpt","value":"not lost"}]}',
+        '{"messages":[{"role":"system"},{"content":"x"},{"role":"user","content":"y"}]}',
+        '{"messages":[{"role":"user","content":"q"},{"tool":"z"}]}',
+        '{"messages":[{"role":"user","content":"q"},7,null]}',
+        '{"prompt":"p","response":{"deep":[1, 2]},"messages":"none"}',
+        '{"turn":4,"role":"user","text":"t"}',
     ]
     df = spark.createDataFrame(list(enumerate(records)), "conv_id long, j string")
     turns, rest = chat.canonical_turns_json(df, "j")
     assert sorted(map(tuple, turns.collect())) == [
         (0, 0, "user", "hi"), (0, 1, "assistant", ""), (1, 0, "user", "p"), (1, 1, "assistant", "r"), (2, 0, "user", "i"), (2, 1, "user", ""),
         (2, 2, "assistant", "o"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (4, 0, "user", "q"), (4, 1, "assistant", "a"),
+        (10, 0, "system", ""), (10, 1, "", "x"), (10, 2, "user", "y"), (13, 0, "user", "p"), (13, 1, "assistant", '{"deep":[1,2]}'), (14, 4, "user", "t"),
     ]
-    assert sorted(r["conv_id"] for r in rest.collect()) == [5, 6, 7, 8]
+    assert sorted(r["conv_id"] for r in rest.collect()) == [5, 6, 7, 8, 9, 11, 12]
     typed = spark.createDataFrame([(1, [("user", "x")])], "conv_id long, messages array<struct<role: string, content: string>>")
     assert [tuple(r) for r in chat.canonical_turns(typed).collect()] == [(1, 0, "user", "x")]
     with pytest.raises(ValueError, match="no layout"):
