@@ -2,9 +2,10 @@
 
 Vectors get one more component that makes their lengths equal; the largest inner products are then the smallest
 distances. A vector's key is its nearest pivot and its distance from it; keys of one pivot in one ring of distances
-are an annulus, cut into blocks of bounded size. A query first searches its own annulus, which gives a k-th best
-distance t. By the triangle inequality only annuli that reach into d(query, pivot) +- t can hold better vectors; the
-query is sent to their blocks alone, all queries of a block are scored by one matrix product, and partial lists merge.
+are an annulus, packed into blocks of bounded size. For a query, annuli are sorted by their gap: the least distance
+that the triangle inequality allows from the query to anything in them. The search goes in rounds over that order.
+Each round takes more annuli, and stops for a query where the gap passes its k-th best distance so far. Queries are
+packed and sent to the blocks that they still need; a task holds one block and streams the queries past it.
 """
 
 from __future__ import annotations
@@ -13,14 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import small_batches, stage
+from quern.llm.common import Scratch, small_batches, stage
 
-PIVOTS, RINGS, BLOCK_ROWS, SAMPLE_ROWS = 32, 16, 4096, 4096
-QUERY_BATCH = 512
+PIVOTS, RINGS, BLOCK_ROWS, SAMPLE_ROWS = 32, 16, 2048, 4096
+QUERY_BATCH, ROUND_GROWTH = 256, 4
 _SLACK = 1e-6
+#: Sums of products below the first bound are exact as doubles, below the second as 64-bit integers.
+_DOUBLE, _LONG = 2**53, 2**63
+#: Stands for a null id inside tasks: after all other ids.
+_NO_ID = np.iinfo(np.int64).max
+_FOUND = "query_id long, vec_id long, score long"
 
 
 def quantised(vectors: DataFrame, vector_col: str, id_col: str, scale: int = 256) -> DataFrame:
@@ -32,14 +38,13 @@ def quantised(vectors: DataFrame, vector_col: str, id_col: str, scale: int = 256
     return vectors.filter(ok).select(F.col(id_col).cast("long").alias("vec_id"), ints.alias("v"))
 
 
-def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    """Vectors as rows of doubles, zeros behind shorter ones. Sums below 2**53 are exact."""
-    lists = column.to_pylist()
-    if all(len(x) == dims for x in lists):
-        return np.array(lists, np.float64).reshape(len(lists), dims)
-    out = np.zeros((len(lists), dims))
-    for i, x in enumerate(lists):
-        out[i, : len(x)] = x
+def _matrix(column: pa.Array, dims: int, kind: type = np.float64) -> np.ndarray:
+    """Vectors as rows, zeros behind shorter ones."""
+    offsets = column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False)
+    sizes = np.diff(offsets)
+    out = np.zeros((len(sizes), dims), kind)
+    out[np.arange(dims)[None] < sizes[:, None]] = values[offsets[0] : offsets[-1]]
     return out
 
 
@@ -60,129 +65,176 @@ def choose_pivots(sample: np.ndarray, pivots: int) -> np.ndarray:
     return sample[chosen]
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, vec_id, score) of the k best of each row without the query's own id, ties to the smaller id."""
-    rows, cols = [], []
-    for i, s in enumerate(scores):
-        at = np.arange(len(s)) if len(s) <= 4 * k + 8 else np.flatnonzero(s >= np.partition(s, len(s) - 2 * k - 1)[len(s) - 2 * k - 1])
-        at = at[ids[at] != own[i]]
-        if len(at) < min(k, len(s)):  # the query's id is repeated
-            at = np.flatnonzero(ids != own[i])
-        at = at[np.lexsort((ids[at], -s[at]))][:k]
-        rows.append(np.full(len(at), i))
-        cols.append(at)
-    r, c = (np.concatenate(x).astype(int) if x else np.zeros(0, int) for x in (rows, cols))
-    return r, ids[c], scores[r, c]
+def best_of_block(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best of each row that reach its floor, without the query's own id; ties to the smaller id.
+
+    A floor is the k-th best score found elsewhere: what lies below can't be among the best.
+    """
+    at = scores >= floor[:, None]
+    at &= ids[None] != own[:, None]
+    many = np.flatnonzero(at.sum(axis=1) > 4 * k)
+    if len(many):
+        lowest = np.iinfo(scores.dtype).min if scores.dtype == np.int64 else -np.inf
+        held = np.where(at[many], scores[many], lowest)
+        at[many] &= held >= np.partition(held, -k, axis=1)[:, -k][:, None]
+    rows, cols = np.nonzero(at)
+    order = np.lexsort((ids[cols], -scores[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    first = np.searchsorted(rows, rows)
+    keep = np.arange(len(rows)) - first < k
+    return rows[keep], cols[keep]
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x).tobytes()
 
 
 def search(base: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of base (vec_id, v) with the largest inner products for each row of queries (vec_id, v).
 
-    Rows with the query's own id are no candidates. Fewer than k candidates give fewer rows; repeated rows of base
-    count each, and of repeated queries each is answered once. Shorter vectors count as followed by zeros. The index is fitted on
-    SAMPLE_ROWS rows; results don't depend on the fit. Only pivots and the rings' bounds come to the driver.
+    Rows with the query's own id are no candidates. Rows of base with a null id are, after all others of their score;
+    queries with a null id are not asked. Fewer than k candidates give fewer rows; repeated rows of base count each,
+    and of repeated queries each is answered once. Shorter vectors count as followed by zeros. Scores are exact: as
+    doubles below 2**53, as 64-bit integers below 2**63; vectors whose scores could be larger are an error. The index
+    is fitted on SAMPLE_ROWS rows; results don't depend on the fit. Only pivots and the rings' bounds come to the driver.
     """
-    spark = base.sparkSession
+    spark, scratch = base.sparkSession, Scratch(base.sparkSession)
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    bounds = base.agg(F.max(F.size("v")), F.max(F.aggregate(F.transform("v", lambda x: x.cast("double") * x), F.lit(0.0), lambda a, x: a + x))).first()
-    if bounds[0] is None:
-        return none
-    widest = queries.agg(F.max(F.size("v"))).first()[0]
-    if widest is None:
+    norm2 = F.aggregate(F.transform("v", lambda x: x.cast("double") * x), F.lit(0.0), lambda a, x: a + x)
+    largest = F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))
+    dims, longest2, most = base.agg(F.max(F.size("v")), F.max(norm2), largest).first()
+    widest, highest = queries.filter("vec_id is not null").agg(F.max(F.size("v")), largest).first()
+    if dims is None or widest is None:
         return none
-    dims, longest2 = max(bounds[0], widest), bounds[1]
+    dims, longest2 = max(dims, widest), longest2 or 0.0
+    size = dims * (most or 0.0) * (highest or 0.0)
+    if size >= _LONG or max(most or 0.0, highest or 0.0) >= _LONG:
+        raise ValueError("inner products of these vectors may not fit 64 bits")
+    kind = np.float64 if size < _DOUBLE else np.int64
     sample = base.orderBy(F.xxhash64("vec_id", F.lit(10)), "vec_id").limit(SAMPLE_ROWS).select("v").toArrow().column("v").combine_chunks()
     pivots = choose_pivots(_lifted(_matrix(sample, dims), longest2), PIVOTS)
     reach = 2 * np.sqrt(longest2) + 1
     width = reach / RINGS / 2
 
-    def key(lift: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows == 0:
-                    continue
-                x = _matrix(b.column(1), dims)
-                d = _distances(_lifted(x, longest2) if lift else np.concatenate([x, np.zeros((len(x), 1))], axis=1), pivots)
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                d = _distances(_lifted(_matrix(b.column(1), dims), longest2), pivots)
                 near = d.argmin(axis=1)
                 dist = d[np.arange(len(d)), near]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near.astype(np.int32)), pa.array(dist), pa.array((dist / width).astype(np.int32))], names=["vec_id", "v", "pivot", "dist", "ring"])
+                cells = [pa.array(near.astype(np.int32)), pa.array(dist), pa.array((dist / width).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cells], names=["vec_id", "v", "pivot", "dist", "ring"])
 
-        return run
-
-    kinds = "vec_id long, v array<long>, pivot int, dist double, ring int"
     small_batches(spark, 4096)
-    keyed = stage(base.select("vec_id", "v").mapInArrow(key(True), kinds), "topk-index")
-    annuli = keyed.groupBy("pivot", "ring").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high")).collect()
+    keyed = scratch.stage(base.select("vec_id", "v").mapInArrow(key, "vec_id long, v array<long>, pivot int, dist double, ring int"), "topk-keys")
+    annuli = keyed.groupBy("pivot", "ring").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high")).collect()  # PIVOTS * (2 * RINGS + 1) rows at most
     annuli.sort(key=lambda r: (r["pivot"], r["ring"]))
-    cuts = {(r["pivot"], r["ring"]): -(-r["n"] // BLOCK_ROWS) for r in annuli}
-    n_blocks = F.create_map(*[F.lit(x) for (p, r), n in cuts.items() for x in (p * 100_000 + r, n)])
-    block = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), n_blocks[F.col("pivot") * 100_000 + F.col("ring")])
-    index = stage(keyed.select("vec_id", "v", "pivot", "ring", block.cast("int").alias("block")), "topk-blocks")
     low, high = (np.array([r[c] for r in annuli]) for c in ("low", "high"))
-    of = np.array([r["pivot"] for r in annuli])
-    rings = np.array([r["ring"] for r in annuli])
-    sizes = np.array([cuts[r["pivot"], r["ring"]] for r in annuli])
-    totals = np.array([r["n"] for r in annuli])
+    of, sizes = np.array([r["pivot"] for r in annuli]), np.array([-(-r["n"] // BLOCK_ROWS) for r in annuli])
+    cuts = F.create_map(*[F.lit(x) for i, r in enumerate(annuli) for x in (r["pivot"] * 100_000 + r["ring"], i)])
+    annulus = cuts[F.col("pivot") * 100_000 + F.col("ring")].alias("annulus")
+    parts = F.array(*[F.lit(int(x)) for x in sizes])
+    block = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), parts[F.col("annulus")]).cast("int").alias("block")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by annulus and block as packed blocks; a run that goes on in the next batch gives another one."""
+        for b in batches:
+            a, s, ids = b.column(0).to_numpy(), b.column(1).to_numpy(), pa.compute.fill_null(b.column(2), _NO_ID).to_numpy()
+            edges = [0, *(np.flatnonzero((a[1:] != a[:-1]) | (s[1:] != s[:-1])) + 1).tolist(), len(a)]
+            x = _matrix(b.column(3), dims, kind)
+            runs = [(i, j) for i, j in zip(edges[:-1], edges[1:], strict=True) if j > i]
+            cells = [pa.array([a[i] for i, _ in runs], pa.int32()), pa.array([s[i] for i, _ in runs], pa.int32()), pa.array([_packed(ids[i:j]) for i, j in runs], pa.binary()), pa.array([_packed(x[i:j]) for i, j in runs], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cells, names=["annulus", "block", "ids", "m"])
+
+    dealt = keyed.select("vec_id", "v", annulus).select("annulus", block, "vec_id", "v").repartition("annulus", "block").sortWithinPartitions("annulus", "block")
+    index = scratch.stage(dealt.mapInArrow(pack, "annulus int, block int, ids binary, m binary"), "topk-blocks")
+    asked = scratch.stage(queries.filter("vec_id is not null").select("vec_id", "v").dropDuplicates(["vec_id"]), "topk-queries")
+
+    def gaps(batches: Iterator[pa.RecordBatch]):
+        """For each batch of queries: ids, vectors, floors, annuli by gap, and how many of them lie within the k-th best distance."""
+        for b in batches:
+            for at in range(0, b.num_rows, QUERY_BATCH):
+                own = b.slice(at, QUERY_BATCH)
+                x = _matrix(own.column(1), dims)
+                norms = (x * x).sum(axis=1)
+                to_pivot = _distances(np.concatenate([x, np.zeros((len(x), 1))], axis=1), pivots)
+                gap = np.maximum(0, np.maximum(low - to_pivot[:, of], to_pivot[:, of] - high))
+                order = np.argsort(gap + 1e-9 * to_pivot[:, of], axis=1, kind="stable")
+                known = own.column(2).is_valid().to_numpy(zero_copy_only=False)
+                floor = pa.compute.fill_null(own.column(2), np.iinfo(np.int64).min).to_numpy()
+                bound = np.where(known, np.sqrt(np.maximum(norms + longest2 - 2.0 * np.where(known, floor, 0), 0)), np.inf)
+                within = np.take_along_axis(gap, order, 1) <= (bound * (1 + _SLACK) + _SLACK * reach)[:, None]
+                yield own.column(0).to_numpy(), own.column(1), floor, order, within
+
+    def routes(start: int, stop: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, vectors, floor, order, within in gaps(batches):
+                x = _matrix(vectors, dims, kind)
+                who, turn = np.nonzero(within[:, start:stop])
+                to = order[who, turn + start]
+                by = np.argsort(to, kind="stable")
+                who, to = who[by], to[by]
+                edges = [0, *(np.flatnonzero(to[1:] != to[:-1]) + 1).tolist(), len(to)]
+                for i, j in zip(edges[:-1], edges[1:], strict=True):
+                    if j > i:
+                        a, w = int(to[i]), who[i:j]
+                        row, n = (_packed(ids[w]), _packed(x[w]), _packed(floor[w])), int(sizes[a])
+                        cells = [pa.array([a] * n, pa.int32()), pa.array(range(n), pa.int32()), *(pa.array([v] * n, pa.binary()) for v in row)]
+                        yield pa.RecordBatch.from_arrays(cells, names=["annulus", "block", "ids", "m", "floor"])
 
-    def routes(first: bool):
-        """A query's blocks: of its nearest annulus with more than k rows, or of all others within the bound t."""
+        return run
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows == 0:
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by block, its vectors first: only those are held while its queries stream by."""
+        now, held = None, []
+        for b in batches:
+            for a, s, ids, m, floor in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
+                if (a, s) != now:
+                    now, held = (a, s), []
+                ids, x = np.frombuffer(ids, np.int64), np.frombuffer(m, kind).reshape(-1, dims)
+                if floor is None:
+                    held.append((ids, x))
                     continue
-                x = _matrix(b.column(1), dims)
-                to_pivot = _distances(np.concatenate([x, np.zeros((len(x), 1))], axis=1), pivots)
-                gap = np.maximum(0, np.maximum(low - to_pivot[:, of], to_pivot[:, of] - high))
-                home = np.where(totals > k, gap + 1e-9 * to_pivot[:, of], np.inf).argmin(axis=1)
-                cols: list[list] = [[], [], [], [], []]
-                floor = None if first else b.column(2).to_pylist()
-                for i, (q, v) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                    if first:
-                        at = home[i : i + 1]
-                    else:
-                        far = np.inf if floor[i] is None else np.sqrt(max(0.0, float(x[i] @ x[i]) + longest2 - 2 * floor[i]))
-                        at = np.flatnonzero(gap[i] <= far * (1 + _SLACK) + _SLACK * reach)
-                        at = at[at != home[i]]
-                    for a in at:
-                        for s in range(sizes[a]):
-                            for c, y in zip(cols, (q, v, of[a], rings[a], s), strict=True):
-                                c.append(y)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["query_id", "q", "pivot", "ring", "block"])
+                for vec_ids, y in held:
+                    scores = x @ y.T
+                    r, c = best_of_block(scores, vec_ids, ids, np.frombuffer(floor, np.int64), k)
+                    if len(r):
+                        out = vec_ids[c]
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(out, mask=out == _NO_ID), pa.array(scores[r, c].astype(np.int64))], names=["query_id", "vec_id", "score"])
+
+    def ranked(found: DataFrame) -> DataFrame:
+        """The k best of each query; ranks are cut before the shuffle, so a query sends k rows a task."""
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
+        return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    def bounded(best: DataFrame | None) -> DataFrame:
+        floors = best.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor")) if best else None
+        return asked.join(floors, "vec_id", "left") if best else asked.withColumn("floor", F.lit(None).cast("long"))
+
+    def waiting(start: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(int(within[:, start].sum()) for *_, within in gaps(batches))], pa.int64())], names=["n"])
 
         return run
 
-    def product(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = left.column("vec_id").to_numpy()
-        out: list[pa.Table] = []
-        if len(ids) and right.num_rows:
-            x = _matrix(left.column("v").combine_chunks(), dims)
-            for at in range(0, right.num_rows, QUERY_BATCH):
-                part = right.slice(at, QUERY_BATCH)
-                own = part.column("query_id").to_numpy()
-                r, c, s = _best(_matrix(part.column("q").combine_chunks(), dims) @ x.T, ids, own, k)
-                out.append(pa.table({"query_id": own[r], "vec_id": c, "score": s.astype(np.int64)}))
-        return pa.concat_tables(out) if out else pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "vec_id", "score")})
-
-    def found(routed: DataFrame) -> DataFrame:
-        keys = ("pivot", "ring", "block")
-        got = index.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInArrow(product, "query_id long, vec_id long, score long")
-        order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id")))
-        return got.groupBy("query_id").agg(F.slice(order, 1, k).alias("best"))
-
-    route = "query_id long, q array<long>, pivot int, ring int, block int"
-    asked = stage(queries.select("vec_id", "v").dropDuplicates(["vec_id"]), "topk-queries")
-    home = stage(found(asked.mapInArrow(routes(True), route)), "topk-first")
-    floor = F.when(F.size("best") >= k, -F.element_at("best", k)["s"])
-    bounded = asked.join(home.select(F.col("query_id").alias("vec_id"), floor.alias("floor")), "vec_id", "left").select("vec_id", "v", "floor")
-    rest = found(bounded.mapInArrow(routes(False), route))
-    both = home.unionByName(rest).select("query_id", F.explode("best").alias("b"))
-    merged = both.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list("b")), 1, k).alias("best"))
-    ranked = merged.select("query_id", F.posexplode("best").alias("at", "b"))
-    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    best, start, stop = None, 0, 1
+    small_batches(spark, 1024)
+    while start < len(annuli) and (best is None or bounded(best).mapInArrow(waiting(start), "n long").agg(F.sum("n")).first()[0]):
+        routed = bounded(best).mapInArrow(routes(start, stop), "annulus int, block int, ids binary, m binary, floor binary")
+        both = index.withColumn("floor", F.lit(None).cast("binary")).unionByName(routed)
+        met = both.repartition("annulus", "block").sortWithinPartitions("annulus", "block", F.col("floor").isNotNull())
+        found = met.mapInArrow(product, _FOUND)
+        best = scratch.stage(ranked(found if best is None else best.drop("rank").unionByName(found)), "topk-best")
+        start, stop = stop, min(len(annuli), stop * (1 + ROUND_GROWTH))
+    out = stage(best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "topk-result")
+    scratch.drop()
+    return out
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """search() of the rows whose id is divisible by every against all rows, components quantised."""
-    ints = stage(quantised(vectors, vector_col, id_col), "topk-vectors")
-    return search(ints, ints.filter(F.pmod("vec_id", F.lit(every)) == 0), k)
+    scratch = Scratch(vectors.sparkSession)
+    ints = scratch.stage(quantised(vectors, vector_col, id_col), "topk-vectors")
+    out = search(ints, ints.filter(F.pmod("vec_id", F.lit(every)) == 0), k)
+    scratch.drop()
+    return out

@@ -135,8 +135,8 @@ def brute_top(rows, k, every):
     held = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = set()
     for q, v in dict(held).items():
-        if q % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in held if i != q)[:k]
+        if q is not None and q % every == 0:
+            scored = sorted(((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in held if i != q), key=lambda x: (x[0], x[1] is None, x[1] or 0))[:k]
             out |= {(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)}
     return out
 
@@ -147,7 +147,7 @@ def test_top_k(spark, dims, monkeypatch):
     rng = random.Random(dims)
     rows = [(i, [rng.gauss(0, 0.3) for _ in range(dims)]) for i in range(900)]
     rows += [(1000 + i, rows[50][1]) for i in range(300)]  # ties
-    rows += [(2000, None), (2050, [None] * dims), (2100, [float("nan")] * dims), (2150, [float("inf")] + [0.0] * (dims - 1)), (2200, [0.0] * dims), (2250, [1.5, -2.0])]
+    rows += [(2000, None), (2050, [None] * dims), (2100, [float("nan")] * dims), (2150, [float("inf")] + [0.0] * (dims - 1)), (2200, [0.0] * dims), (2250, [1.5, -2.0]), (None, rows[50][1]), (None, rows[100][1]), (2300, []), (-50, rows[0][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"v": F.lit("clash"), "pivot": F.lit(1)}).repartition(4)
     held = [(r["vec_id"], r["embedding"]) for r in df.collect()]
     assert {tuple(r) for r in topk.top_k(df).collect()} == brute_top(held, 5, 50)
@@ -162,6 +162,20 @@ def test_top_k_of_few(spark):
     assert topk.top_k(spark.createDataFrame([(1, [1.0]), (2, [2.0])], schema)).count() == 0
 
 
+@pytest.mark.parametrize(("scale", "whole"), [(1.0, True), (2.0**22, False)])
+def test_top_k_is_exact(spark, scale, whole, monkeypatch):
+    """Scores beyond 2**53, which doubles would round, and those beyond 64 bits, which are refused."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 40)
+    rng = random.Random(2)
+    rows = [(i, [rng.uniform(-1, 1) * scale for _ in range(4)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = brute_top(rows, 5, 50)
+    assert whole or max(abs(r[3]) for r in want) > 2**53
+    assert {tuple(r) for r in topk.top_k(df).collect()} == want
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.top_k(spark.createDataFrame([(0, [2.0**24, 0.0]), (1, [2.0**24, 1.0])], "vec_id long, embedding array<double>"))
+
+
 def test_pipeline(spark, tmp_path):
     rng, rows = random.Random(5), []
     syllables = {"en": ["the", "ing", "wh", "ou"], "fr": ["eau", "ç", "qui", "é"]}
