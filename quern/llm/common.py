@@ -19,9 +19,11 @@ ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one, in local mode only; on a cluster an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir()
@@ -58,6 +60,29 @@ class Scratch:
         self._paths.clear()
 
 
+#: Rows of a table with one row per key (100 bytes or so) that may be broadcast; more are joined by shuffles.
+BROADCAST_KEYS = 1 << 17
+#: A key is hot if more than one of so many rows has it, so at most that many keys are; and how many parts a hot key's rows are dealt over.
+HOT_ONE_IN, HOT_PARTS = 1000, 64
+
+
+def join_by_key(rows: DataFrame, keyed: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined left with keyed: a staged table with one row per key, of which column n says how many of rows have it.
+
+    A small table is broadcast. Otherwise both sides are shuffled, and the rows of hot keys are dealt over parts, to
+    each of which the key's one row of the table is copied.
+    """
+    size, total = keyed.agg(F.count(F.lit(1)), F.sum(n)).first()
+    if size <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(keyed), key, "left")
+    hot = F.broadcast(keyed.filter(F.col(n) * HOT_ONE_IN > total).select(key, F.lit(True).alias("_hot")))  # HOT_ONE_IN rows at most
+    part = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(HOT_PARTS))).otherwise(0).cast("int")
+    every = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0))))
+    left = rows.join(hot, key, "left").withColumn("_part", part).drop("_hot")
+    right = keyed.join(hot, key, "left").withColumn("_part", every).drop("_hot")
+    return left.join(right, [key, "_part"], "left").drop("_part")
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of few rows and bytes, so that very long texts don't add up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
