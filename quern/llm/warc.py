@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh_path, small_batches, stage
+from quern.llm.common import Scratch, fresh_path, join_by_key, small_batches, stage
 
 #: Fixed values of the archive format.
 SKIPPABLE_MAGIC, ZSTD_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -34,18 +34,19 @@ _NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:quern:warc")
 _READ = 1 << 20
 
 
-def mark_revisits(pages: DataFrame) -> DataFrame:
+def mark_revisits(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """page_id, url, html, digest, n_bytes and refers_to: the smallest page_id with this payload, null for a response.
 
-    Groups are summed up before the shuffle, and only payloads that occur twice are joined back, so a payload of any
-    number of pages doesn't gather in one task. Rows that repeat the smallest page_id of a payload are all responses.
+    Groups are summed up before the shuffle, and only payloads that occur twice are joined back, the pages of hot ones
+    in parts, so a payload of any number of pages doesn't gather in one task. Rows that repeat the smallest page_id of
+    a payload are all responses.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("html"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("n_bytes"))
     groups = rows.filter(F.col("n_bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    repeated = stage(groups.filter("n > 1").drop("n"), "warc-repeated")
-    joined = rows.join(repeated, "digest", "left")
-    return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))).drop("first_id")
+    repeated = scratch.stage(groups.filter("n > 1"), "warc-repeated")
+    joined = join_by_key(rows, repeated, "digest", "n")
+    return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))).drop("first_id", "n")
 
 
 def record_id(page_id: int | None) -> str:
@@ -201,8 +202,10 @@ def archive(pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, str
     Null html is an empty payload, a null url a urn of the page; a null page_id is written as empty. Payloads under
     REVISIT_BYTES are always responses. No rows give no files. Further columns are not written.
     """
-    folder = folder or fresh_path(pages.sparkSession, "warc")
-    return stage(write_archives(mark_revisits(pages), folder), "warc-files"), folder
+    folder, scratch = folder or fresh_path(pages.sparkSession, "warc"), Scratch(pages.sparkSession)
+    files = stage(write_archives(mark_revisits(pages, scratch), folder), "warc-files")
+    scratch.drop()
+    return files, folder
 
 
 def spread(files: DataFrame, spark: SparkSession) -> DataFrame:
