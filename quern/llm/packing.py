@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import give_back, small_batches, stage
+from quern.llm.common import Scratch, give_back, small_batches, stage
 from quern.llm.encoding import crc, encoder
 
 SEQUENCE = 4096
@@ -80,9 +80,10 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = SEQUENCE
     Null and empty texts have the end id alone. Rows that repeat an id are documents of their own. A group has about
     group_pieces pieces, whatever the input's size. No rows give no rows; further columns are not looked at.
     """
-    pieces = stage(token_pieces(docs, vocabulary, end_id, capacity), "pack-pieces")
+    scratch = Scratch(docs.sparkSession)
+    pieces = scratch.stage(token_pieces(docs, vocabulary, end_id, capacity), "pack-pieces")
     groups = max(1, -(-pieces.filter(F.col("length") < capacity).count() // group_pieces))
-    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(9)), F.lit(groups))
+    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))  # equal pieces are dealt over groups, too
     names = [f for f in pieces.columns]
 
     def fill(t: pa.Table) -> pa.Table:
@@ -93,4 +94,6 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = SEQUENCE
 
     packed = pieces.filter(F.col("length") < capacity).withColumn("grp", group).groupBy("grp").applyInArrow(fill, _PIECES + ", sequence_id long, offset long")
     full = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", F.lit(1 << 62) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    return packed.unionByName(full)
+    out = stage(packed.unionByName(full), "pack-result")
+    scratch.drop()
+    return out

@@ -20,9 +20,11 @@ from quern.llm.encoding import crc, encoder
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 128 << 10, 2000
+#: Bytes of text in a file at most, about; the session's number of shuffle partitions makes smaller ones.
+FILE_BYTES = 256 << 20
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", row_group_bytes: int = ROW_GROUP_BYTES) -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", row_group_bytes: int = ROW_GROUP_BYTES, file_bytes: int = FILE_BYTES) -> None:
     """Encodes every text (null: empty), appends end_id and writes the ids in ascending order of the ids of documents.
 
     Null ids come first; rows that repeat an id stand side by side, ordered by text. Files hold disjoint ranges of ids.
@@ -42,7 +44,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_co
 
     small_batches(docs.sparkSession, 2048)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    files = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // file_bytes)
+    by = (files,) if files > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else ()
+    ordered = rows.repartitionByRange(*by, "doc_id").sortWithinPartitions("doc_id", "text")
     (
         ordered.mapInArrow(encode, SCHEMA)
         .write.option("parquet.writer.version", "PARQUET_2_0")

@@ -1,5 +1,6 @@
 """Operators over documents against brute force, with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
+import glob
 import hashlib
 import math
 import random
@@ -10,13 +11,14 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quern.llm import components, counters, dedup, encoding, jaccard, langid, lm_score, mixture, packing, shingles, token_file
+from quern.llm import common, components, counters, dedup, encoding, jaccard, langid, lm_score, mixture, packing, shingles, token_file
 from quern.llm.common import fresh_path, id_crc32
 
 BYTE, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -78,6 +80,23 @@ def test_exact_dedup(docs, empty):
     assert dedup.mark_duplicates(empty).count() == 0 == dedup.deduplicate(empty).count()
 
 
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_dedup_deals_hot_groups(spark, hot, monkeypatch):
+    """Joins by shuffles: a group that holds a third of all rows, rows that repeat an id and a text."""
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(common, "HOT_ONE_IN", hot)
+    rows = [(i, "hot" if i % 3 else f"t{i % 60}") for i in range(600)] + [(599, "hot")] * 90 + [(None, None)] * 80 + [(7, "once")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = dedup.mark_duplicates(df).collect()
+    sizes = Counter(t for _, t in rows)
+    keep = {t: max((i for i, x in rows if x == t and i is not None), default=None) for t in sizes}
+    digest = {hashlib.sha256((t or "").encode()).hexdigest(): t for t in sizes}
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)
+    assert all((r["keep_id"], r["group_size"]) == (keep[digest[r["text_sha256"]]], sizes[digest[r["text_sha256"]]]) for r in got)
+    assert Counter((r["doc_id"], digest[r["text_sha256"]]) for r in got if r["kept"]) == Counter((i, t) for t, i in keep.items())
+    assert Counter(map(tuple, dedup.deduplicate(df).collect())) == Counter((i, t) for t, i in keep.items())
+
+
 def test_dedup_compares_texts_of_one_digest(spark, monkeypatch):
     real = F.sha2
     monkeypatch.setattr(dedup.F, "sha2", lambda c, bits: F.substring(real(c, bits), 1, 1))  # collisions
@@ -262,6 +281,19 @@ def test_token_files(spark, docs, empty):
     assert {r["doc_id"] for r in few.collect()} == {5, 6} and "GreaterThanOrEqual(doc_id,5)" in few._jdf.queryExecution().toString()
     assert "array<int>" not in token_file.read_lengths(spark, path)._jdf.queryExecution().executedPlan().toString()
     assert token_file.encode_and_digest(empty, BYTE, 0).count() == 0
+    small = fresh_path(spark, "test-small-files")
+    token_file.write_tokens(docs, small, BYTE, 0, file_bytes=4000)
+    assert len(glob.glob(f"{small.removeprefix('file:')}/part-*")) > 8 and token_file.digest_tokens(spark, small).count() == len(rows)
+    many = fresh_path(spark, "test-row-groups")
+    token_file.write_tokens(spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.col("id").cast("string"), F.lit(" x ")), 100).alias("text")), many, BYTE, 0, row_group_bytes=1 << 16)
+    footers = [pq.ParquetFile(f).metadata for f in glob.glob(f"{many.removeprefix('file:')}/part-*")]
+    assert min(m.num_row_groups for m in footers) > 1  # row groups are bounded
+    for m in footers:
+        for g in range(m.num_row_groups):
+            chunks = {m.row_group(g).column(c).path_in_schema: m.row_group(g).column(c) for c in range(m.num_columns)}
+            assert all(c.has_offset_index and c.has_column_index for c in chunks.values())
+            assert "DELTA_BINARY_PACKED" in chunks["tokens.list.element"].encodings
+            assert chunks["doc_id"].statistics is not None
 
 
 def test_packing(spark, docs, empty):
