@@ -2,7 +2,7 @@
 
 Every source is a stream of words: its documents in shuffled order, twice over. The stream is cut into blocks of
 equally many words. Slot i of the schedule is the point frac(i * golden ratio) of the unit interval, which the sources
-divide by their targets; the k-th slot of a source takes the k-th block of its stream.
+divide by their targets; the k-th slot of a source takes the k-th block of its stream. The mix is in the order of slots.
 """
 
 from __future__ import annotations
@@ -12,13 +12,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import WORD_WITH_GAP, stage, word_count
+from quern.llm.common import WORD_WITH_GAP, Scratch, stage, word_count
 
 #: Weights of the sources in order of their names, repeated; share of all words that is taken; most times that a source's words are used.
 WEIGHTS, SHARE, EPOCHS = (5, 2, 1), 1.5, 2
 BLOCK_WORDS = 2048
 GOLDEN = (math.sqrt(5) - 1) / 2
-_GRID, _CHUNK = 4096, 16384
+_GRID, _CHUNK, _COPIES = 4096, 16384, 4096
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return per.select("source", "source_idx", "n_docs", "source_size", "target", F.round("target").cast("long").alias("words"))
 
 
-def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def schedule(targets: DataFrame, scratch: Scratch, block_words: int = BLOCK_WORDS) -> DataFrame:
     """slot, source_idx, rank: for every source the ranks 0 to ceil(words / block_words) - 1, each in one slot.
 
     A source whose interval got a slot too few takes the missing ones after all others.
@@ -56,7 +56,7 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     point = F.col("id") * F.lit(GOLDEN) + F.lit(0.5)
     slots = spark.range(n).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("point")).withColumn("cell", F.floor(F.col("point") * _GRID))
     owned = slots.join(cells, "cell").filter((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
-    owned = stage(owned.select("slot", "source_idx", "need", F.expr(f"slot div {_CHUNK}").alias("chunk")), "mix-slots")
+    owned = scratch.stage(owned.select("slot", "source_idx", "need", F.expr(f"slot div {_CHUNK}").alias("chunk")), "mix-slots")
     counts = owned.groupBy("source_idx", "chunk").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("source_idx").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
@@ -72,19 +72,25 @@ def _key(id_col: Column) -> Column:
     return F.md5(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary"))
 
 
-def positions(docs: DataFrame, targets: DataFrame, n_docs: int) -> DataFrame:
-    """docs (doc_id, source, _size and what else they carry), plus source_idx, source_size, target, words and pos: the words of its source's shuffled stream before it.
+def positions(groups: DataFrame, targets: DataFrame, n_docs: int) -> DataFrame:
+    """groups (doc_id, source, _size, _n: how many documents are alike in these, and what else they carry) as a row per document.
 
+    Added are source_idx, source_size, target, words and pos: the words of its source's shuffled stream before it.
     A source of any size is split by the first digits of the shuffle key; only sums per part are added up in order.
+    Documents alike stand side by side, are counted before they are ordered, and numbered after.
     """
     digits = max(2, math.ceil(math.log(max(n_docs, 1) / 5000 + 1, 16)))
-    rows = docs.join(targets.drop("n_docs").withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = rows.withColumn("_key", _key(F.col("doc_id"))).withColumn("_part", F.substring("_key", 1, digits))
+    rows = groups.join(targets.drop("n_docs").withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rows = rows.withColumn("_key", _key(F.col("doc_id"))).withColumn("_part", F.substring("_key", 1, digits)).withColumn("_all", F.col("_size") * F.col("_n"))
     earlier = Window.partitionBy("source_idx").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("source_idx", "_part").agg(F.sum("_size").alias("_n")).withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    within = Window.partitionBy("source_idx", "_part").orderBy("_key", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_in", F.coalesce(F.sum("_size").over(within), F.lit(0)))
-    return rows.join(sums, ["source_idx", "_part"]).withColumn("pos", F.col("_offset") + F.col("_in")).drop("_key", "_part", "_offset", "_in")
+    sums = rows.groupBy("source_idx", "_part").agg(F.sum("_all").alias("_words")).withColumn("_offset", F.coalesce(F.sum("_words").over(earlier), F.lit(0))).drop("_words")
+    ties = [c for c in ("_mark",) if c in groups.columns]
+    within = Window.partitionBy("source_idx", "_part").orderBy("_key", "doc_id", "_size", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_in", F.coalesce(F.sum("_all").over(within), F.lit(0)))
+    rows = rows.join(sums, ["source_idx", "_part"]).withColumn("pos", F.col("_offset") + F.col("_in")).drop("_key", "_part", "_offset", "_in", "_all")
+    runs = rows.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {_COPIES}"))))  # arrays of bounded length
+    each = runs.withColumn("_copy", F.explode(F.sequence(F.col("_run") * _COPIES, F.least(F.col("_n"), (F.col("_run") + 1) * _COPIES) - 1)))
+    return each.withColumn("pos", F.col("pos") + F.col("_copy") * F.col("_size")).drop("_run", "_copy", "_n")
 
 
 def pieces(placed: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -98,42 +104,54 @@ def pieces(placed: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS)
     return runs.join(slots, ["source_idx", "rank"]).select("slot", "source_idx", "pos", "epoch", "word_start", "n_words")
 
 
-def _prepare(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
-    sized = stage(docs.select(F.col(id_col).alias("doc_id"), F.col("source"), word_count(F.col(text_col)).alias("_size")), "mix-sizes")
-    targets = stage(source_targets(sized.withColumnRenamed("_size", "size")).coalesce(1), "mix-targets")
-    return sized, targets, targets.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+def _mark(id_col: Column, source: Column, text: Column) -> Column:
+    """Alike for rows with one id, source and text."""
+    return F.md5(F.concat(F.md5(F.coalesce(text, F.lit("")).cast("binary")), F.coalesce(id_col.cast("string"), F.lit("null")), F.coalesce(F.concat(F.lit("/"), source), F.lit(""))).cast("binary"))
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+def mix_plan(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, marked: bool = False) -> tuple[DataFrame, DataFrame]:
     """(placed, pieces): documents with their place in the streams, and the mix as runs of words in slots.
 
     Null texts and texts without words have size 0 and are never taken; a null source is a source of its own, last in
     order. Rows that repeat an id are documents of their own. Without any words all targets are 0.
     """
-    sized, targets, n_docs = _prepare(docs, id_col, text_col)
-    placed = stage(positions(sized, targets, n_docs), "mix-placed")
-    return placed, pieces(placed, schedule(targets, block_words), block_words)
+    marks = [_mark(F.col(id_col), F.col("source"), F.col(text_col)).alias("_mark")] if marked else []
+    sized = scratch.stage(docs.select(F.col(id_col).alias("doc_id"), F.col("source"), word_count(F.col(text_col)).alias("_size"), *marks), "mix-sizes")
+    targets = scratch.stage(source_targets(sized.withColumnRenamed("_size", "size")).coalesce(1), "mix-targets")
+    n_docs = targets.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+    groups = sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("_n"))
+    placed = scratch.stage(positions(groups, targets, n_docs), "mix-placed")
+    return placed, pieces(placed, schedule(targets, scratch, block_words), block_words)
 
 
 def mix_taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
-    placed, runs = mix_plan(docs, id_col, text_col, block_words)
-    taken = runs.groupBy("source_idx", "pos").agg(F.sum("n_words").alias("taken"))
+    """One row per document: doc_id, size, source_size, target, taken, first_slot (where its words come first in the mix; null if none is taken)."""
+    scratch = Scratch(docs.sparkSession)
+    placed, runs = mix_plan(docs, scratch, id_col, text_col, block_words)
+    taken = runs.groupBy("source_idx", "pos").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"))
     rows = placed.withColumn("_at", F.when(F.col("_size") > 0, F.col("pos")))
     joined = rows.join(taken.withColumnsRenamed({"pos": "_at"}), ["source_idx", "_at"], "left")
-    return joined.select(F.col("doc_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    out = joined.select(F.col("doc_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot")
+    out = stage(out, "mix-result")
+    scratch.drop()
+    return out
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The mixed documents with the columns of docs: a row per document and epoch, its text cut to the words that are taken.
+    """The mixed documents with the columns of docs, in the order of the schedule: a row per document and epoch, its text cut to the words that are taken.
 
-    The words of a document that one epoch takes are always its first ones, as a target ends within one document at most.
+    The words of a document that one epoch takes are always its first ones, as a target ends within one document at
+    most. Rows that repeat id, source and text count as copies of one of them, whose other columns they get.
     """
-    sized, targets, n_docs = _prepare(docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), "source", word_count(F.col(text_col)).alias("_size"), F.struct("*").alias("_row"))  # other columns can't clash
-    light = stage(positions(sized, targets, n_docs), "mix-placed")
-    taken = pieces(light, schedule(targets, block_words), block_words).groupBy("source_idx", "pos", "epoch").agg(F.sum("n_words").alias("_taken"))
-    mixed = positions(rows, targets, n_docs).filter("_size > 0").join(taken, ["source_idx", "pos"])
+    scratch = Scratch(docs.sparkSession)
+    placed, runs = mix_plan(docs, scratch, id_col, text_col, block_words, marked=True)
+    taken = runs.groupBy("source_idx", "pos", "epoch").agg(F.sum("n_words").alias("_taken"), F.min("slot").alias("_slot"))
+    plan = stage(placed.filter("_size > 0").join(taken, ["source_idx", "pos"]).select("_mark", "_size", "_taken", "_slot", "epoch"), "mix-plan")
+    rows = docs.select(_mark(F.col(id_col), F.col("source"), F.col(text_col)).alias("_mark"), F.struct("*").alias("_row"))  # other columns can't clash
+    if not placed.groupBy("_mark").count().filter("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["_mark"])
+    mixed = rows.join(plan, "_mark").orderBy("_slot", "epoch", "_mark")
+    scratch.drop()
     whole = F.col("_row")[text_col]
     first = F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(WORD_WITH_GAP), F.lit(0)), 1, F.col("_taken").cast("int")), "")
     mixed = mixed.withColumn("_text", F.when(F.col("_taken") >= F.col("_size"), whole).otherwise(first))

@@ -83,15 +83,34 @@ levels AS (
   SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
              - coalesce(sum(cap) OVER (ORDER BY cap / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(w) OVER (ORDER BY cap / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
-targets AS (SELECT source, source_size, least(cap, w * max(level) OVER ()) AS target FROM levels),
+targets AS (SELECT source, source_size, i, least(cap, w * max(level) OVER ()) AS target FROM levels),
+cuts AS (
+  SELECT source, source_size, target, i, round(target)::BIGINT AS words, ceil(round(target) / 2048)::BIGINT AS need FROM targets),
+bounds AS (
+  SELECT i, need, (sum(words) OVER (ORDER BY i) - words)::DOUBLE / sum(words) OVER () AS low,
+         (sum(words) OVER (ORDER BY i))::DOUBLE / sum(words) OVER () AS high FROM cuts WHERE words > 0),
+points AS (
+  SELECT slot, slot * 0.6180339887498949::DOUBLE + 0.5::DOUBLE - floor(slot * 0.6180339887498949::DOUBLE + 0.5::DOUBLE) AS point
+  FROM (SELECT unnest(range((SELECT coalesce(ceil(sum(words) / 2048.0), 0)::BIGINT FROM cuts))) AS slot)),
+owned AS (
+  SELECT i, need, slot, row_number() OVER (PARTITION BY i ORDER BY slot) - 1 AS rank
+  FROM points JOIN bounds ON point >= low AND point < high),
+lacking AS (
+  SELECT b.i, b.need, coalesce(o.got, 0) AS got FROM bounds b LEFT JOIN (SELECT i, count(*) AS got FROM owned GROUP BY i) o ON o.i = b.i),
+slots AS (
+  SELECT i, rank, slot FROM owned WHERE rank < need
+  UNION ALL
+  SELECT i, rank, (SELECT count(*) FROM points) + (rank - got) * 16384 + i
+  FROM (SELECT i, got, unnest(range(got, need)) AS rank FROM lacking WHERE got < need)),
 placed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, round(t.target)::BIGINT AS words,
+  SELECT s.doc_id, s.size, c.i, c.source_size, c.target, c.words,
          coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k, s.doc_id, s.size
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, words - pos)) + greatest(0, least(size, words - source_size - pos)))::BIGINT AS taken
-FROM placed
+  FROM sized s JOIN cuts c ON s.source IS NOT DISTINCT FROM c.source)
+SELECT p.doc_id, p.size, p.source_size, p.target,
+       (greatest(0, least(p.size, p.words - p.pos)) + greatest(0, least(p.size, p.words - p.source_size - p.pos)))::BIGINT AS taken,
+       s.slot::BIGINT AS first_slot
+FROM placed p LEFT JOIN slots s ON p.size > 0 AND p.pos < p.words AND s.i = p.i AND s.rank = p.pos // 2048
 """
 
 OP8_SQL = """

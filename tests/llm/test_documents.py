@@ -220,7 +220,7 @@ def test_mixture(docs, empty, spark):
 def test_schedule_is_spread_and_complete(docs):
     sized = docs.select("source", mixture.word_count(F.col("text")).alias("size"))
     targets = mixture.source_targets(sized)
-    slots = mixture.schedule(targets, 16).collect()
+    slots = mixture.schedule(targets, common.Scratch(docs.sparkSession), 16).collect()
     ranks = defaultdict(list)
     for r in sorted(slots, key=lambda r: r["slot"]):
         ranks[r["source_idx"]].append(r["rank"])
@@ -230,6 +230,11 @@ def test_schedule_is_spread_and_complete(docs):
     early = [r for r in slots if r["slot"] < total // 2]
     for k, n in need.items():
         assert abs(sum(r["source_idx"] == k for r in early) - n / 2) <= 4
+    share = {k: n / total for k, n in need.items()}  # of every beginning, each source has its share but for the logarithm of its length in slots
+    seen = Counter()
+    for i, r in enumerate(sorted((r for r in slots if r["slot"] < total), key=lambda r: r["slot"]), 1):
+        seen[r["source_idx"]] += 1
+        assert all(abs(seen[k] - i * share[k]) <= 3 + math.log2(i) for k in share)
 
 
 def test_mixed_documents_hold_what_is_taken(docs):
@@ -242,6 +247,23 @@ def test_mixed_documents_hold_what_is_taken(docs):
     for r in mixture.mix_taken(docs, block_words=16).collect():
         want[r["doc_id"]] += r["taken"]
     assert {k: v for k, v in by_id.items() if v} == {k: v for k, v in want.items() if v}
+    first = {r["doc_id"]: r["first_slot"] for r in mixture.mix_taken(docs, block_words=16).collect() if r["taken"]}
+    order = list(dict.fromkeys(r["doc_id"] for r in out.collect() if r["doc_id"] != 61))
+    assert [first[i] for i in order if i is not None] == sorted(first[i] for i in order if i is not None)  # the schedule's order
+
+
+def test_mixture_of_repeated_ids(spark):
+    """A third of all rows without id, some rows repeated whole: counted by group, never ordered one by one."""
+    rows = [(None, "w " * (i % 3 + 1), "hot") for i in range(9000)] + [(i, "a b c", "x") for i in range(300)] + [(5, "again and again", "x")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.lit(0)).repartition(4)
+    got = mixture.mix_taken(df).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, len(t.split())) for i, t, _ in rows)
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    for s in ("hot", "x"):
+        own = [r for r in got if (r["source_size"] == 18000) == (s == "hot")]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1
+    taken = sum(r["taken"] for r in got)
+    assert sum(len(r["text"].split()) for r in mixture.mix_documents(df).collect()) == taken
 
 
 ALPHABET = "ab Z.,\n\t'1é Σ́#\x01\x00"
