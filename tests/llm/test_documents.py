@@ -139,8 +139,11 @@ def test_jaccard(docs, empty):
 
 @pytest.mark.parametrize("seed", range(4))
 def test_jaccard_of_edited_copies(spark, seed, monkeypatch):
-    if seed % 2:  # every shingle is hot: the way of joins
+    if seed % 2:  # every shingle is hot: the way of joins; all pairs and postings go in parts
         monkeypatch.setattr(jaccard, "HOT_LEVEL", 0)
+        monkeypatch.setattr(jaccard, "PART_PAIRS", 2)
+        monkeypatch.setattr(jaccard, "PART_POSTINGS", 3)
+        monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
     rng, rows = random.Random(seed), []
     for g in range(6):
         base = [f"w{rng.randrange(40 if g % 2 else 4000)}" for _ in range(rng.choice([6, 20, 60, 200]))]
@@ -155,6 +158,24 @@ def test_jaccard_of_edited_copies(spark, seed, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_jaccard_derives_answers_from_a_leaders(spark, monkeypatch):
+    """Members like their leader, yet not linked with it: some link among each other, which only the differences show."""
+    rng, derived, own = random.Random(11), [], jaccard._derived
+    monkeypatch.setattr(jaccard, "_derived", lambda scratch, pairs, sets: derived.append(pairs.count()) or own(scratch, pairs, sets))
+    base, rows = [f"w{i}" for i in range(200)], []
+    for g in range(12):  # groups that each change the same quarter of the base in their own way
+        start = rng.randrange(140)
+        changed = base[:start] + [f"g{g}x{i}" for i in range(rng.choice([20, 30, 45]))] + base[start + 30 :]
+        for _ in range(6):
+            text = list(changed)
+            for _ in range(rng.randint(0, 5)):
+                text[rng.randrange(len(text))] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(text)))
+    rows.append((len(rows), " ".join(base)))
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == brute_components(rows) and derived and derived[0] > 0
+
+
 @given(st.lists(st.text("aB \t\n,é", max_size=60), max_size=8), st.integers(1, 40))
 @settings(max_examples=60, deadline=None)
 def test_shingles_follow_words(texts, chunk):
