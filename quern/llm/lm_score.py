@@ -9,6 +9,11 @@ and learn while it is read: after each segment they step along the gradient of i
 coded with the new ones. Every bit is thus predicted from what comes before it alone, and the probabilities of all
 texts add up to at most one. A text ends with a flag that is coded before every byte.
 
+A further predictor has long contexts, in a table that grows with the training rows. Of all places after four words,
+those whose words hash to a sixteenth of the values are anchors. An anchor's words that occur there at least twice in
+training documents predict the bytes that follow them most often, as long as they come true and up to the next
+anchor. The table is summed up by shuffles; a block of documents gets only the anchors that its texts have.
+
 The baseline is a unigram model over words with one added to every count. Documents are dealt by id into blocks of
 bounded size; a block's distinct words meet their counts, and only those come back to the block.
 """
@@ -28,7 +33,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import counters
-from quern.llm.common import ASCII_LOWER, give_back, small_batches, stage
+from quern.llm.common import ASCII_LOWER, Scratch, give_back, small_batches, stage
+from quern.llm.shingles import mix, word_places
 
 #: Contexts, the first weights of their predictors, and the bits of the number of their slots.
 CONTEXTS, FIRST_WEIGHTS, SLOT_BITS = ("2 bytes", "3 bytes", "4 bytes", "5 bytes of the word"), (0.2, 0.3, 0.35, 0.2), (12, 14, 16, 15)
@@ -37,6 +43,8 @@ RATE, REFINE_RATE, ADDED, KINKS = 0.2, 0.1, 0.3, (1.0, 3.0)
 SEGMENTS, LONGEST_SEGMENT = (64, 64, 128), 256
 BLOCK_BYTES, LEAST_BLOCKS = 16 << 20, 64
 _PAD, _SCALE = 5, 16.0
+#: Anchors: words of the context, one place in so many (a power of two), bytes that follow, the predictor's first weight.
+ANCHOR_WORDS, ANCHOR_ONE_IN, FOLLOWING, ANCHOR_WEIGHT = 4, 16, 64, 2.0
 #: Counters of all contexts one after the other, cut into parts of so many.
 _STARTS = np.cumsum([0, *(1 << (b + 8) for b in SLOT_BITS)]).tolist()
 _PART = 1 << 16
@@ -49,6 +57,10 @@ _IN_WORD[[*range(33), *b".,;:!?|()\"'"]] = 0
 #: For byte c and bit k (high first): the tree's node before the bit, and the bit as -1 or 1.
 _NODE = np.array([[(1 << k) | (c >> (8 - k)) for k in range(8)] for c in range(256)])
 _SIGN = np.array([[2 * ((c >> (7 - k)) & 1) - 1 for k in range(8)] for c in range(256)], np.int8)
+#: For the exclusive or of a byte and the one foretold: 1 for bits foretold right, -1 for the first wrong one, 0 after it.
+_AGREE = np.array([[1 if c >> (7 - k) == 0 else -1 if c >> (8 - k) == 0 else 0 for k in range(8)] for c in range(256)], np.int8)
+#: Odd multipliers of the words of an anchor.
+_PLACES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 
 
 def context_keys(padded: np.ndarray) -> list[np.ndarray]:
@@ -104,6 +116,81 @@ def log_odds(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(nodes * _SCALE), -127, 127).astype(np.int8)
 
 
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place in it, key) of all anchors, in order."""
+    h, ends, at, begins = word_places(texts)
+    last = max(0, len(h) - ANCHOR_WORDS + 1)
+    key = np.zeros(last, np.uint64)
+    for i, m in enumerate(_PLACES):
+        key += h[i : last + i] * np.uint64(m)
+    key = mix(key)
+    of = np.repeat(np.arange(len(texts)), np.diff(at))
+    found = np.flatnonzero((key < np.uint64((1 << 64) // ANCHOR_ONE_IN)) & (of[:last] == of[ANCHOR_WORDS - 1 :]))
+    return of[found], ends[found + ANCHOR_WORDS - 1] - begins[of[found]], key[found].view(np.int64)
+
+
+def anchor_rows(blocked: DataFrame) -> DataFrame:
+    """block, key, following (null for held-out texts) of every anchor; fewer bytes follow at the end of a text."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            of, place, key = anchors(texts)
+            held, block = b.column(2).to_numpy(zero_copy_only=False), b.column(0).to_numpy()
+            follow = [None if held[i] else texts[i][p : p + FOLLOWING] for i, p in zip(of.tolist(), place.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(block[of]), pa.array(key), pa.array(follow, pa.binary())], names=["block", "key", "following"])
+        give_back()
+
+    return blocked.select("block", "body", "held_out").mapInArrow(find, "block int, key long, following binary")
+
+
+def known_anchors(rows: DataFrame) -> DataFrame:
+    """block, key, following, times, of: for each block its anchors that training texts have at least twice, what follows them most often, and how often of all times."""
+    each = rows.filter("following is not null").groupBy("key", "following").agg(F.count(F.lit(1)).alias("n"))
+    best = each.groupBy("key").agg(F.sum("n").alias("of"), F.max(F.struct("n", "following")).alias("b")).filter("of > 1")
+    asked = rows.select("block", "key").distinct()
+    return asked.join(best, "key").select("block", "key", F.col("b.following").alias("following"), F.col("b.n").alias("times"), "of")
+
+
+class Hints:
+    """A block's known anchors."""
+
+    def __init__(self, keys: np.ndarray, following: list[bytes], times: np.ndarray, of: np.ndarray):
+        order = np.argsort(keys)
+        self._keys = keys[order]
+        self._following = np.zeros((len(keys), FOLLOWING), np.uint8)
+        for row, i in zip(self._following, order.tolist(), strict=True):
+            row[: len(following[i])] = np.frombuffer(following[i], np.uint8)
+        odds = np.log((times[order] + ADDED) / (of[order] - times[order] + ADDED))
+        self._strength = np.clip(np.rint(odds * _SCALE), 0, 127).astype(np.int8)
+
+    def of(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text, the places of its known anchors and their numbers."""
+        if not len(self._keys):
+            return [(np.zeros(0, int), np.zeros(0, int))] * len(texts)
+        text, place, key = anchors(texts)
+        number = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+        hit = self._keys[number] == key
+        text, place, number = text[hit], place[hit], number[hit]
+        cuts = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+        return [(place[i:j], number[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def foretold(self, padded: np.ndarray, row: np.ndarray, place: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes foretold and their strengths (0: none), for padded (n, _PAD + bytes) with anchors at (row, place). A byte is foretold only if all since its anchor came true."""
+        flat, width = np.append(padded.reshape(-1), np.zeros(FOLLOWING, np.uint8)), padded.shape[1]
+        at = (row * width + place + _PAD)[:, None] + np.arange(FOLLOWING)
+        told = self._following[number]
+        true = flat[at] == told
+        alive = np.ones_like(true)
+        np.logical_and.accumulate(true[:, :-1], axis=1, out=alive[:, 1:])
+        alive &= (place[:, None] + np.arange(FOLLOWING)) < width - _PAD
+        byte, strength = np.zeros(len(flat), np.uint8), np.zeros(len(flat), np.int8)
+        byte[at[alive]] = told[alive]
+        strength[at[alive]] = np.broadcast_to(self._strength[number][:, None], alive.shape)[alive]
+        n = padded.size
+        return byte[:n].reshape(padded.shape)[:, _PAD:], strength[:n].reshape(padded.shape)[:, _PAD:]
+
+
 class Mixer:
     """Scores texts by the predictors' tables: int8 log odds by node, all slots of all contexts in order."""
 
@@ -115,8 +202,9 @@ class Mixer:
                 paths[256 * i : 256 * (i + _BUILD)] = (t[i : i + _BUILD, _NODE] * _SIGN).reshape(-1, 8).view(np.uint64).reshape(-1)
         self._go, self._end = math.log10(1 - end_chance), math.log10(end_chance)
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
+    def score(self, texts: list[bytes], hints: Hints | None = None) -> np.ndarray:
         """log10 probability of each text."""
+        told = hints.of(texts) if hints else None
         sizes = np.array([len(t) for t in texts], np.int64)
         out = sizes * self._go + self._end
         order = np.argsort(sizes, kind="stable")
@@ -126,7 +214,9 @@ class Mixer:
             while at + lanes < len(order) and lanes < _LANES and (lanes + 1) * sizes[order[at + lanes]] <= _LANE_BYTES:
                 lanes += 1
             own = order[at : at + lanes]
-            out[own] -= self._cost([texts[i] for i in own], sizes[own]) / math.log(10)
+            marks = [told[i] for i in own] if told else []
+            some = hints if any(len(p) for p, _ in marks) else None  # without any, the predictor has nothing to say
+            out[own] -= self._cost([texts[i] for i in own], sizes[own], some, marks) / math.log(10)
             at += lanes
         return out
 
@@ -140,22 +230,29 @@ class Mixer:
             signed.append(np.moveaxis(np.ascontiguousarray(own).view(np.int8).reshape(n, size, 8), 2, 0))
         return signed, _IN_WORD[padded[:, _PAD - 1 : _PAD - 1 + size]].astype(np.float32)
 
-    def _cost(self, texts: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    def _cost(self, texts: list[bytes], sizes: np.ndarray, hints: Hints | None = None, marks: list[tuple[np.ndarray, np.ndarray]] = ()) -> np.ndarray:
         """Natural-log cost of each text's bytes; the texts go side by side, through a window over their bytes. Arrays are (bit, text, byte)."""
         n, most = len(texts), int(sizes.max())
         padded = np.zeros((n, most + _PAD), np.uint8)
         for row, t in zip(padded, texts, strict=True):
             row[_PAD : _PAD + len(t)] = np.frombuffer(t, np.uint8)
         window = max(1, _LANE_BYTES // n // LONGEST_SEGMENT) * LONGEST_SEGMENT  # no segment crosses its ends
-        k = len(self._paths)
+        k = len(self._paths) + (hints is not None)
         weights = np.zeros((8, n, 2, k), np.float32)  # of a byte that follows no word, and what is added if it follows one
-        weights[:, :, 0] = FIRST_WEIGHTS
+        weights[:, :, 0] = (*FIRST_WEIGHTS, ANCHOR_WEIGHT)[:k]
+        if hints:
+            row = np.repeat(np.arange(n), [len(p) for p, _ in marks])
+            byte, strength = hints.foretold(padded, row, *(np.concatenate(x) for x in zip(*marks, strict=True)))
         weights /= np.float32(_SCALE)
         refine = np.zeros((len(KINKS), 8, n, 1), np.float32)
         cost, start, turn = np.zeros(n), 0, 0
         while start < most:
             if start % window == 0:
                 first, signed, gate = start, *self._inputs(padded[:, start : start + window + _PAD])
+                if hints:
+                    own = slice(start, start + window)
+                    agree = _AGREE[padded[:, _PAD:][:, own] ^ byte[:, own]] * strength[:, own, None]
+                    signed.append(np.moveaxis(agree, 2, 0))
             stop = min(most, start + (SEGMENTS[turn] if turn < len(SEGMENTS) else LONGEST_SEGMENT))
             size = stop - start
             real = (np.arange(start, stop)[None] < sizes[:, None]).astype(np.float32)
@@ -187,8 +284,9 @@ class Mixer:
         return cost
 
 
-def block_of(id_col: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(blocks)).cast("int")
+def block_of(id_col: Column, body: Column, blocks: int) -> Column:
+    """By id and text, so that rows which repeat one of them are dealt over blocks."""
+    return F.pmod(F.xxhash64(id_col, body, F.lit(1)), F.lit(blocks)).cast("int")
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -196,7 +294,10 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def word_counts(blocked: DataFrame) -> DataFrame:
-    """block, word, n (in the block's training documents), c (in all): one row for each block's distinct word."""
+    """block, word, n (in the block's training documents), c (in all): one row for each block's distinct word.
+
+    A word has a row for each block of BLOCK_BYTES at most, so none has a share of all rows that would hold up a task.
+    """
 
     def count(t: pa.Table) -> pa.Table:
         seen: Counter[bytes] = Counter()
@@ -227,22 +328,26 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     rows every count is 0. bits_per_byte is null for empty texts. Rows that repeat an id are scored each, and alike
     for equal texts. No rows give no rows.
     """
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     small_batches(spark)
     body = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     train = body.filter(~F.col("held_out"))
     sizes = body.agg(F.sum(F.octet_length("body")), F.sum(F.when(~F.col("held_out"), F.octet_length("body"))), F.count(F.when(~F.col("held_out"), 1))).first()
     every, learnt, texts = (x or 0 for x in sizes)
     blocks = max(LEAST_BLOCKS, -(-every // BLOCK_BYTES))
-    blocked = body.withColumn("block", block_of(F.col("id"), blocks))
-    words = stage(word_counts(blocked), "lm-words")
+    blocked = body.withColumn("block", block_of(F.col("id"), F.col("body"), blocks))
+    words = scratch.stage(word_counts(blocked), "lm-words")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("first") & (F.col("c") > 0), 1))).first()
     tables = counters.collected(count_contexts(train), log_odds, _STARTS[-1] // _PART, _PART, np.int8)
     shared = spark.sparkContext.broadcast(zstandard.compress(tables.tobytes(), 3))  # a byte for each counter at most, 30 MB
+    known = known_anchors(scratch.stage(anchor_rows(blocked), "lm-anchors"))
     chance = (texts + 1) / (learnt + texts + 2)
     of_none = math.log10(1 / (n + v + 1))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        is_word = pa.compute.equal(right.column("of"), 0)
+        marks, right = right.filter(pa.compute.invert(is_word)), right.filter(is_word)
+        hints = Hints(marks.column("c").to_numpy(), marks.column("word").to_pylist(), marks.column("times").to_numpy(), marks.column("of").to_numpy())
         c = right.column("c").to_numpy()
         values = np.where(c > 0, np.log10((c + 1) / (n + v + 1)), 0.0)
         logs = _Logs(zip(right.column("word").to_pylist(), values.tolist(), strict=True))
@@ -255,13 +360,17 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
             n_tokens.append(len(own))
             n_known.append(known)
             base.append(math.fsum(own) + (len(own) - known) * of_none)
-        scores = mixer(shared, chance).score(bodies)
+        scores = mixer(shared, chance).score(bodies, hints)
         give_back()
         bits = [-s / math.log10(2) / len(t) if t else None for s, t in zip(scores.tolist(), bodies, strict=True)]
         return pa.table({id_col: left.column("id"), "held_out": left.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([n] * len(bodies), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(scores), "bits_per_byte": pa.array(bits, pa.float64())})
 
     schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return blocked.groupBy("block").cogroup(words.select("block", "word", "c").groupBy("block")).applyInArrow(score, schema)
+    zero = F.lit(0).cast("long")
+    asked = words.select("block", "word", "c", zero.alias("times"), zero.alias("of")).unionByName(known.select("block", F.col("following").alias("word"), F.col("key").alias("c"), "times", "of"))
+    out = stage(blocked.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(score, schema), "lm-result")
+    scratch.drop()
+    return out
 
 
 _mixers: dict[int, Mixer] = {}

@@ -43,30 +43,37 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and where each text's words begin in them (one more entry: their number)."""
+def word_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words in order, where they end in the texts joined by single bytes, where each text's words begin among them, and each text in the joined ones (one more entry each)."""
     joined = np.frombuffer(b" ".join([*texts, b""]).translate(ASCII_LOWER), np.uint8)
     begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
     apart = _SEPARATOR[joined]
-    hashes, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    hashes, starts, ends, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     while at < len(joined):
         end = at + _CHUNK
         end = len(joined) if end >= len(joined) else end + int(apart[end:].argmax())  # a separator ends each chunk
-        own, first = _chunk_hashes(joined[at:end], apart[at:end])
+        own, first, last = _chunk_hashes(joined[at:end], apart[at:end])
         hashes.append(own)
         starts.append(first + at)
+        ends.append(last + at)
         at = end
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), begins)
+    return np.concatenate(hashes), np.concatenate(ends), np.searchsorted(np.concatenate(starts), begins), begins
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and where each text's words begin in them (one more entry: their number)."""
+    hashes, _, at, _ = word_places(texts)
+    return hashes, at
 
 
-def _chunk_hashes(b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the words of a run of bytes that neither begins nor ends within a word."""
+def _chunk_hashes(b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words of a run of bytes that neither begins nor ends within a word."""
     edge = np.diff(np.concatenate([[True], apart, [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     powers, inverses = power_tables(len(b) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[b] * powers[: len(b)], dtype=np.uint64)])
     h = (sums[ends] - sums[starts]) * inverses[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(BASE)), starts
+    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(BASE)), starts, ends
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:

@@ -453,13 +453,27 @@ def test_context_counts_cover_all_training_bytes(spark):
     assert (got.reshape(-1) == brute_tables(texts)).all()
 
 
-def brute_score(tables, text, end):
-    """One text, bit by bit, in doubles."""
+def brute_anchors(text):
+    """place: key of the words before it, for the places that are anchors."""
+    of, place, key = lm_score.anchors([text])
+    assert not of.any()
+    return dict(zip(place.tolist(), key.tolist(), strict=True))
+
+
+def brute_score(tables, text, end, known=None):
+    """One text, bit by bit, in doubles. known: key to (following, strength in steps)."""
+    told, at = [(0, 0)] * len(text), brute_anchors(text) if known else {}
+    for place, key in sorted(at.items()):
+        if key in known:
+            for i, c in enumerate(known[key][0][: len(text) - place]):
+                told[place + i] = (c, known[key][1])
+                if text[place + i] != c:
+                    break
     nodes = [tables.reshape(-1)[i:j].reshape(-1, 256).astype(float) / lm_score._SCALE for i, j in zip(lm_score._STARTS[:-1], lm_score._STARTS[1:], strict=True)]
     keys = lm_score.context_keys(np.frombuffer(bytes(lm_score._PAD) + text, np.uint8))
-    k = len(nodes)
+    k = len(nodes) + 1
     weights = np.zeros((8, 2, k))
-    weights[:, 0] = lm_score.FIRST_WEIGHTS
+    weights[:, 0] = (*lm_score.FIRST_WEIGHTS, lm_score.ANCHOR_WEIGHT)
     refine = np.zeros((8, len(lm_score.KINKS)))
     cost, start, turn = 0.0, 0, 0
     while start < len(text):
@@ -470,7 +484,10 @@ def brute_score(tables, text, end):
             gate = gate if at else int(lm_score._IN_WORD[0])
             for bit in range(8):
                 node, sign = (1 << bit) | (c >> (8 - bit)), 2 * ((c >> (7 - bit)) & 1) - 1
-                x = np.array([sign * t[int(q[at]) >> 8, node] for t, q in zip(nodes, keys, strict=True)])
+                foretold, strength = told[at]
+                right = foretold >> (7 - bit) == c >> (7 - bit)
+                agree = 1 if right else -1 if foretold >> (8 - bit) == c >> (8 - bit) else 0
+                x = np.array([*(sign * t[int(q[at]) >> 8, node] for t, q in zip(nodes, keys, strict=True)), agree * strength / lm_score._SCALE])
                 y = float(x @ (weights[bit, 0] + gate * weights[bit, 1]))
                 bends = np.clip(y, -np.array(lm_score.KINKS), np.array(lm_score.KINKS))
                 final = min(30.0, max(-30.0, y + float(bends @ refine[bit])))
@@ -494,6 +511,33 @@ def test_mixer_is_the_model_bit_by_bit():
     assert np.allclose(got, [brute_score(tables, t, 0.01) for t in texts], rtol=2e-4, atol=1e-3)
 
 
+def test_anchors_foretell_what_follows(spark):
+    """Anchors against words one by one; those that occur twice foretell, exactly as bit by bit, and never a repeated text worse."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n)).encode()
+    twice, thrice, others = text(400), text(300), [text(300) for _ in range(4)]
+    edited = twice[:700] + b"edit " + twice[720:]
+    train = [twice, twice, thrice, thrice, thrice + b" and its own end", *others]
+    rows = spark.createDataFrame([(i % 2, bytearray(t), False) for i, t in enumerate(train)] + [(0, bytearray(edited), True)], "block int, body binary, held_out boolean").repartition(3)
+    counts = defaultdict(Counter)
+    for t in train:
+        for place, key in brute_anchors(t).items():
+            assert t[place : place + 1] in (b" ", b"") and len(t[:place].split()) >= 4
+            counts[key][t[place : place + lm_score.FOLLOWING]] += 1
+    best = {k: max(((n, f) for f, n in c.items())) + (sum(c.values()),) for k, c in counts.items() if sum(c.values()) > 1}
+    got = {(r["block"], r["key"]): (r["times"], bytes(r["following"]), r["of"]) for r in lm_score.known_anchors(lm_score.anchor_rows(rows)).collect()}
+    assert {k for _, k in got} == set(best) and all(v == best[k] for (_, k), v in got.items()) and len(best) > 20
+    assert all(len(brute_anchors(t)) > len(t.split()) / 40 for t in (twice, thrice))
+    keys = list(best)
+    hints = lm_score.Hints(np.array(keys), [best[k][1] for k in keys], np.array([best[k][0] for k in keys]), np.array([best[k][2] for k in keys]))
+    tables = lm_score.log_odds(brute_tables(train))
+    known = {k: (f, max(0, min(127, round(math.log((n + lm_score.ADDED) / (of - n + lm_score.ADDED)) * lm_score._SCALE)))) for k, (n, f, of) in best.items()}
+    mixer, texts = lm_score.Mixer(tables, 0.01), [twice, edited, thrice, others[0], b"", b"w1"]
+    with_hints, without = mixer.score(texts, hints), mixer.score(texts)
+    assert np.allclose(with_hints, [brute_score(tables, t, 0.01, known) for t in texts], rtol=2e-4, atol=1e-2)
+    assert with_hints[0] > 0.9 * without[0] and with_hints[2] > 0.9 * without[2] and with_hints[1] > without[1] and (with_hints[3:] == without[3:]).all()
+
+
 def test_next_byte_chances_add_up_to_one():
     tables = lm_score.log_odds(brute_tables([b"abc abd " * 20]))
     mixer = lm_score.Mixer(tables, 0.01)
