@@ -10,7 +10,7 @@ coded with the new ones. Every bit is thus predicted from what comes before it a
 texts add up to at most one. A text ends with a flag that is coded before every byte.
 
 A further predictor has long contexts, in a table that grows with the training rows. Of all places after four words,
-those whose words hash to a sixteenth of the values are anchors. An anchor's words that occur there at least twice in
+those whose words hash to one in ANCHOR_ONE_IN of the values are anchors. An anchor's words that occur there at least twice in
 training documents predict the bytes that follow them most often, as long as they come true and up to the next
 anchor. The table is summed up by shuffles; a block of documents gets only the anchors that its texts have.
 
@@ -44,7 +44,7 @@ SEGMENTS, LONGEST_SEGMENT = (64, 64, 128), 256
 BLOCK_BYTES, LEAST_BLOCKS = 16 << 20, 64
 _PAD, _SCALE = 5, 16.0
 #: Anchors: words of the context, one place in so many (a power of two), bytes that follow, the predictor's first weight.
-ANCHOR_WORDS, ANCHOR_ONE_IN, FOLLOWING, ANCHOR_WEIGHT = 4, 16, 64, 2.0
+ANCHOR_WORDS, ANCHOR_ONE_IN, FOLLOWING, ANCHOR_WEIGHT = 4, 64, 128, 2.0
 #: Counters of all contexts one after the other, cut into parts of so many.
 _STARTS = np.cumsum([0, *(1 << (b + 8) for b in SLOT_BITS)]).tolist()
 _PART = 1 << 16
@@ -207,16 +207,17 @@ class Mixer:
         told = hints.of(texts) if hints else None
         sizes = np.array([len(t) for t in texts], np.int64)
         out = sizes * self._go + self._end
-        order = np.argsort(sizes, kind="stable")
-        at = int((sizes == 0).sum())
+        marked = np.array([len(p) > 0 for p, _ in told] if told else np.zeros(len(texts), bool))
+        order = np.lexsort((sizes, marked))  # texts with anchors go together: for others, the predictor has nothing to say
+        order = order[sizes[order] > 0]
+        at = 0
         while at < len(order):
-            lanes = 1
-            while at + lanes < len(order) and lanes < _LANES and (lanes + 1) * sizes[order[at + lanes]] <= _LANE_BYTES:
+            lanes, one = 1, marked[order[at]]
+            while at + lanes < len(order) and lanes < _LANES and (lanes + 1) * sizes[order[at + lanes]] <= _LANE_BYTES and marked[order[at + lanes]] == one:
                 lanes += 1
             own = order[at : at + lanes]
             marks = [told[i] for i in own] if told else []
-            some = hints if any(len(p) for p, _ in marks) else None  # without any, the predictor has nothing to say
-            out[own] -= self._cost([texts[i] for i in own], sizes[own], some, marks) / math.log(10)
+            out[own] -= self._cost([texts[i] for i in own], sizes[own], hints if one else None, marks) / math.log(10)
             at += lanes
         return out
 

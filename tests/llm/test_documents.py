@@ -512,10 +512,10 @@ def test_mixer_is_the_model_bit_by_bit():
 
 
 def test_anchors_foretell_what_follows(spark):
-    """Anchors against words one by one; those that occur twice foretell, exactly as bit by bit, and never a repeated text worse."""
+    """Anchors that occur twice foretell, exactly as bit by bit, and repeated texts get better."""
     rng = random.Random(8)
     text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n)).encode()
-    twice, thrice, others = text(400), text(300), [text(300) for _ in range(4)]
+    twice, thrice, others = text(2000), text(1500), [text(300) for _ in range(4)]
     edited = twice[:700] + b"edit " + twice[720:]
     train = [twice, twice, thrice, thrice, thrice + b" and its own end", *others]
     rows = spark.createDataFrame([(i % 2, bytearray(t), False) for i, t in enumerate(train)] + [(0, bytearray(edited), True)], "block int, body binary, held_out boolean").repartition(3)
@@ -527,7 +527,7 @@ def test_anchors_foretell_what_follows(spark):
     best = {k: max(((n, f) for f, n in c.items())) + (sum(c.values()),) for k, c in counts.items() if sum(c.values()) > 1}
     got = {(r["block"], r["key"]): (r["times"], bytes(r["following"]), r["of"]) for r in lm_score.known_anchors(lm_score.anchor_rows(rows)).collect()}
     assert {k for _, k in got} == set(best) and all(v == best[k] for (_, k), v in got.items()) and len(best) > 20
-    assert all(len(brute_anchors(t)) > len(t.split()) / 40 for t in (twice, thrice))
+    assert all(len(brute_anchors(t)) > len(t.split()) / 160 for t in (twice, thrice))
     keys = list(best)
     hints = lm_score.Hints(np.array(keys), [best[k][1] for k in keys], np.array([best[k][0] for k in keys]), np.array([best[k][2] for k in keys]))
     tables = lm_score.log_odds(brute_tables(train))
@@ -535,7 +535,7 @@ def test_anchors_foretell_what_follows(spark):
     mixer, texts = lm_score.Mixer(tables, 0.01), [twice, edited, thrice, others[0], b"", b"w1"]
     with_hints, without = mixer.score(texts, hints), mixer.score(texts)
     assert np.allclose(with_hints, [brute_score(tables, t, 0.01, known) for t in texts], rtol=2e-4, atol=1e-2)
-    assert with_hints[0] > 0.9 * without[0] and with_hints[2] > 0.9 * without[2] and with_hints[1] > without[1] and (with_hints[3:] == without[3:]).all()
+    assert with_hints[0] > 0.95 * without[0] and with_hints[2] > 0.95 * without[2] and with_hints[1] > without[1] and (with_hints[3:] == without[3:]).all()
 
 
 def test_next_byte_chances_add_up_to_one():
