@@ -55,7 +55,7 @@ LINE = admitted(Unit("line", (Field("quantity", Type.INT64), Field("price", Type
 
 EVENTS = Stream(
     "events",
-    (StreamField("user", Type.STRING, latest=True, orderable=True), StreamField("kind", Type.STRING, policy=Policy.ASCII_IGNORE_CASE, latest=True, orderable=True), StreamField("sequence", Type.INT64, orderable=True), StreamField("tags", Type.STRING, multiple=True, policy=Policy.ASCII_IGNORE_CASE)),
+    (StreamField("user", Type.STRING, latest=True, orderable=True), StreamField("kind", Type.STRING, policy=Policy.ASCII_IGNORE_CASE, latest=True, orderable=True), StreamField("sequence", Type.INT64, orderable=True), StreamField("tags", Type.STRING, multiple=True, policy=Policy.ASCII_IGNORE_CASE), StreamField("some_kind", Type.STRING, policy=Policy.ASCII_IGNORE_CASE)),
     max_limit=100_000,
     high_water="sequence",
 )
@@ -156,10 +156,8 @@ def _matching(columns: tuple[str, ...] = ("cursor",), **asked: object):
 def _groups(*aliases: str, **page: object):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = profile(*aliases)
-        out = reduction.reduce_groups(events(spark, sf_dir), EVENTS, p)
-        if page:
-            out = reduction.group_page(out, EVENTS, p, **page)
-        return _shown(out)
+        out = reduction.reduce_groups(events(spark, sf_dir), EVENTS, p, bounded=not page)
+        return _shown(reduction.group_page(out, EVENTS, p, **page) if page else out)
 
     return run
 
@@ -175,8 +173,11 @@ def count_orders(spark, sf_dir):
 
 
 def any_order(spark, sf_dir):
-    rows = documents.selection(orders(spark, sf_dir), ORDER, Request("all", (_c("total", Op.LESS, 0),))).limit(1)
-    return rows.agg((F.count(F.lit(1)) > 0).alias("found"))
+    def found(op: Op) -> DataFrame:
+        rows = documents.selection(orders(spark, sf_dir), ORDER, Request("all", (_c("total", op, 0),))).limit(1)
+        return rows.agg((F.count(F.lit(1)) > 0).alias("found")).withColumn("asked", F.lit(op.value))
+
+    return found(Op.LESS).unionByName(found(Op.GREATER))
 
 
 def first_order(spark, sf_dir):
@@ -235,7 +236,7 @@ def statistics(spark, sf_dir):
 
 def full_profile(spark, sf_dir):
     p = profile()
-    groups = reduction.reduce_groups(events(spark, sf_dir), EVENTS, p, snapshot=900_000, input_limit=5000)
+    groups = reduction.reduce_groups(events(spark, sf_dir), EVENTS, p, snapshot=900_000, input_limit=5000, bounded=False)
     page = reduction.group_page(groups, EVENTS, p, "total", True, 50, All((Is("largest", "between", (100, 10**9)), Any((Is("kinds", "in", ("click", "purchase")), Is("first_kind", "contains", ("i",)))))))
     return _shown(page)
 
@@ -254,9 +255,34 @@ def _mutated(name: str, *where):
     return run
 
 
+def mutated_documents(spark, sf_dir):
+    """An assignment over a unit of JSON documents: column, document and version change together."""
+    o = orders(spark, sf_dir)
+    documents_ = o.withColumn("document", F.to_json(F.struct("status", F.struct("priority").alias("ship")))).withColumn("version", F.lit(1).cast("long"))
+    out = mutations.mutate(documents_, ORDER, "assign", Request("all", (_c("total", Op.GREATER, 250000),)))
+    member = lambda path: F.get_json_object("document", path)
+    return out.select("id", "priority", "version", member("$.priority").alias("set"), member("$.status").alias("status"), member("$.ship.priority").alias("kept"))
+
+
+def group_having_ci(spark, sf_dir):
+    """Predicates over reducers in other spellings than the records', and an order of texts by their keys."""
+    p = Profile("by user", "user", (_REDUCERS["kinds"], _REDUCERS["first_kind"], _REDUCERS["largest"]), frozenset({"first_kind"}), max_take=1000)
+    where = All((Is("kinds", "in", ("PURCHASE",)), Is("kinds", "contains", ("ICK",)), Any((Is("first_kind", "equal", ("Click",)), Is("first_kind", "contains", ("SIGN",))))))
+    return _shown(reduction.group_page(reduction.reduce_groups(events(spark, sf_dir), EVENTS, p, bounded=False), EVENTS, p, "first_kind", True, 40, where))
+
+
+def group_union_bound_page(spark, sf_dir):
+    """A page of groups within the bound of unions, of a profile that other groups exceed."""
+    p = Profile("by kind", "kind", (Reducer("users", "union", "user"), Reducer("records", "max", "sequence")), frozenset({"records"}), max_take=1000, max_union=3)
+    few = events(spark, sf_dir).withColumn("kind", F.when(F.col("cursor") % 50 == 0, F.concat(F.lit("rare"), F.col("cursor").cast("string"))).otherwise(F.col("kind")))
+    page = reduction.group_page(reduction.reduce_groups(few, EVENTS, p, bounded=False), EVENTS, p, "records", False, 30, Is("records", "between", (0, 5000)))
+    return page.withColumn("users", F.array_join("users", "|")).drop("group_key")
+
+
 def guard_no_references(spark, sf_dir):
+    """Customers that no order of the lowest priority refers to."""
     c = _read(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return joins.without_references(c, _read(spark, sf_dir, "orders"), "c_custkey", "o_custkey")
+    return joins.without_references(c, _read(spark, sf_dir, "orders").filter("o_orderpriority = '5-LOW'"), "c_custkey", "o_custkey")
 
 
 def guard_related(spark, sf_dir):
@@ -318,11 +344,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "doc_cnf": _all(ORDER, O, "all", (Compare("status", Op.EQUAL, "F"), Compare("priority", Op.STARTS_WITH, "1-")), _c("total", Op.GREATER_EQUAL, 100000), columns=("id", "status", "priority")),
     "doc_empty_clause": _all(ORDER, O, "all", ()),
     "doc_residual": _doc(ORDER, O, "residual", _c("status", Op.EQUAL, "O"), _c("priority", Op.CONTAINS, "high"), columns=("id", "total"), take=40),
-    "doc_identity_equal_ci": _all(CUSTOMER, C, "by id", _c("id", Op.EQUAL, "CUSTOMER#7")),
-    "doc_identity_in": _all(CUSTOMER, C, "by id", _c("id", Op.IN, ["customer#3", "CUSTOMER#9"])),
-    "doc_identity_not_equal": _all(CUSTOMER, C, "by id", _c("id", Op.NOT_EQUAL, "CUSTOMER#7")),
-    "doc_identity_prefix": _all(CUSTOMER, C, "by id", _c("id", Op.STARTS_WITH, "CUSTOMER#1")),
-    "doc_identity_range": _all(CUSTOMER, C, "by id", _c("id", Op.GREATER_EQUAL, "CUSTOMER#2"), _c("id", Op.LESS, "CUSTOMER#4")),
+    "doc_identity_equal_ci": _all(CUSTOMER, C, "by id", _c("id", Op.EQUAL, "CUSTOMER#000000007")),
+    "doc_identity_in": _all(CUSTOMER, C, "by id", _c("id", Op.IN, ["customer#000000003", "CUSTOMER#000000009"])),
+    "doc_identity_not_equal": _all(CUSTOMER, C, "by id", _c("id", Op.NOT_EQUAL, "CUSTOMER#000000007")),
+    "doc_identity_prefix": _all(CUSTOMER, C, "by id", _c("id", Op.STARTS_WITH, "CUSTOMER#00000001")),
+    "doc_identity_range": _all(CUSTOMER, C, "by id", _c("id", Op.GREATER_EQUAL, "CUSTOMER#00000002"), _c("id", Op.LESS, "CUSTOMER#00000004")),
     "doc_count": count_orders,
     "doc_any": any_order,
     "doc_first": first_order,
@@ -363,6 +389,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "group_having": _groups("total", "largest", order="largest", descending=True, take=60, where=Is("total", "between", (0, 10**9))),
     "group_page2": group_page2,
     "group_profile_full": full_profile,
+    "group_having_ci": group_having_ci,
+    "group_union_bound_page": group_union_bound_page,
+    "mutation_documents": mutated_documents,
     "mutation_delete": _mutated("drop", _c("status", Op.EQUAL, "P")),
     "mutation_assign": _mutated("assign", _c("total", Op.GREATER, 250000)),
     "mutation_transition": _mutated("close", _c("priority", Op.EQUAL, "1-URGENT")),
@@ -419,13 +448,13 @@ ORACLE_SQL: dict[str, str] = {
     "doc_cnf": _orders(f"(o_orderstatus = 'F' OR starts_with(o_orderpriority, '1-')) AND {_TOTAL} >= 100000", f"{_ID} AS id, o_orderstatus AS status, o_orderpriority AS priority"),
     "doc_empty_clause": _orders("false"),
     "doc_residual": _by_total("o_orderstatus = 'O' AND contains(lower(o_orderpriority), 'high')", "LIMIT 40"),
-    "doc_identity_equal_ci": "SELECT c_name AS id FROM customer WHERE lower(c_name) = 'customer#7'",
-    "doc_identity_in": "SELECT c_name AS id FROM customer WHERE lower(c_name) IN ('customer#3', 'customer#9')",
-    "doc_identity_not_equal": "SELECT c_name AS id FROM customer WHERE lower(c_name) IS DISTINCT FROM 'customer#7'",
-    "doc_identity_prefix": "SELECT c_name AS id FROM customer WHERE starts_with(lower(c_name), 'customer#1')",
-    "doc_identity_range": "SELECT c_name AS id FROM customer WHERE lower(c_name) >= 'customer#2' AND lower(c_name) < 'customer#4'",
+    "doc_identity_equal_ci": "SELECT c_name AS id FROM customer WHERE lower(c_name) = 'customer#000000007'",
+    "doc_identity_in": "SELECT c_name AS id FROM customer WHERE lower(c_name) IN ('customer#000000003', 'customer#000000009')",
+    "doc_identity_not_equal": "SELECT c_name AS id FROM customer WHERE lower(c_name) IS DISTINCT FROM 'customer#000000007'",
+    "doc_identity_prefix": "SELECT c_name AS id FROM customer WHERE starts_with(lower(c_name), 'customer#00000001')",
+    "doc_identity_range": "SELECT c_name AS id FROM customer WHERE lower(c_name) >= 'customer#00000002' AND lower(c_name) < 'customer#00000004'",
     "doc_count": _orders("o_orderstatus = 'F'", "count(*) AS n"),
-    "doc_any": _orders(f"{_TOTAL} < 0", "count(*) > 0 AS found"),
+    "doc_any": f"{_orders(f'{_TOTAL} < 0', "count(*) > 0 AS found, 'less' AS asked")} UNION ALL {_orders(f'{_TOTAL} > 0', "count(*) > 0 AS found, 'greater' AS asked")}",
     "doc_first": _by_total("o_orderstatus = 'O'", "LIMIT 1 OFFSET 3"),
     "doc_take_zero": _orders("false"),
     "doc_page_with_total": _by_total("o_orderstatus = 'P'", "LIMIT 20", f"{_ID} AS id, {_TOTAL} AS total, count(*) OVER () AS n"),
@@ -465,10 +494,16 @@ ORACLE_SQL: dict[str, str] = {
     "group_page2": f"SELECT * FROM ({_grouped('CAST(sum(sequence) AS BIGINT) AS total, max(sequence) AS largest')}) WHERE total > 500000 OR (total = 500000 AND group_value > '5') ORDER BY total, group_value LIMIT 40",
     "group_profile_full": f"""SELECT * FROM ({_grouped(f'min(occurred_at) AS started, max(occurred_at) AS ended, CAST(sum(sequence) AS BIGINT) AS total, max(sequence) AS largest, {_UNION}, {_FIRST}, {_LAST}', source=f'(SELECT * FROM {_EV} WHERE cursor <= 900000 ORDER BY cursor DESC LIMIT 5000)')})
         WHERE largest BETWEEN 100 AND 1000000000 AND (list_has_any(string_split(kinds, '|'), ['click', 'purchase']) OR coalesce(contains(first_kind, 'i'), false)) ORDER BY total DESC, group_value LIMIT 50""",
+    "group_having_ci": f"""SELECT * FROM ({_grouped(f'{_UNION}, {_FIRST}, max(sequence) AS largest')}) WHERE list_contains(string_split(kinds, '|'), 'purchase') AND contains(kinds, 'ick')
+        AND (first_kind = 'click' OR contains(first_kind, 'sign')) ORDER BY first_kind DESC, group_value LIMIT 40""",
+    "group_union_bound_page": f"""SELECT kind AS group_value, array_to_string(list_sort(list_distinct(list("user"))), '|') AS users, max(sequence) AS records
+        FROM (SELECT cursor, "user", sequence, CASE WHEN cursor % 50 = 0 THEN 'rare' || cursor ELSE kind END AS kind FROM {_EV}) GROUP BY kind
+        HAVING max(sequence) BETWEEN 0 AND 5000 ORDER BY records, group_value LIMIT 30""",
+    "mutation_documents": f"SELECT {_ID} AS id, CASE WHEN {_TOTAL} > 250000 THEN '9-NONE' ELSE o_orderpriority END AS priority, CASE WHEN {_TOTAL} > 250000 THEN 2 ELSE 1 END::BIGINT AS version, CASE WHEN {_TOTAL} > 250000 THEN '9-NONE' END AS set, o_orderstatus AS status, o_orderpriority AS kept FROM orders",
     "mutation_delete": _orders("o_orderstatus IS DISTINCT FROM 'P'", f"{_ID} AS id, o_orderstatus AS status, o_orderpriority AS priority"),
     "mutation_assign": f"SELECT {_ID} AS id, o_orderstatus AS status, CASE WHEN {_TOTAL} > 250000 THEN '9-NONE' ELSE o_orderpriority END AS priority FROM orders",
     "mutation_transition": f"SELECT {_ID} AS id, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus IN ('O', 'P') THEN 'F' ELSE o_orderstatus END AS status, o_orderpriority AS priority FROM orders",
-    "guard_no_references": "SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "guard_no_references": "SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '5-LOW')",
     "guard_related_not_equal": "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment IS DISTINCT FROM 'BUILDING')",
     "backfill_projection": f"SELECT kind, count(CAST(json_extract(props, '$.k') AS BIGINT)) AS filled, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM {_EV} GROUP BY kind",
     "text_comparison_keys": "SELECT doc_id, '00' || array_to_string(list_transform(string_split(lower(lang), ''), lambda c: hex(c)), '00') AS key, sha256('00' || array_to_string(list_transform(string_split(lower(lang), ''), lambda c: hex(c)), '00')) AS hash FROM documents",

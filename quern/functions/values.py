@@ -12,9 +12,11 @@ _INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,7})?(Z|[+-]\d{2}:\d{2})
 
 def exact_decimal(lexeme: Column, precision: int, scale: int) -> Column:
     """Text as decimal(precision, scale); null where digits would be lost or don't fit."""
+    kind = f"decimal({precision},{scale})"
+    plain = lexeme.rlike(rf"^[+-]?\d+(\.\d{{0,{scale}}}0*)?$")  # no digit beyond the scale: a cast loses none
     wide = lexeme.try_cast("decimal(38,18)")
-    narrow = wide.try_cast(f"decimal({precision},{scale})")
-    return F.when(narrow.cast("decimal(38,18)") == wide, narrow)
+    narrow = wide.try_cast(kind)
+    return F.when(plain, lexeme.try_cast(kind)).when(narrow.cast("decimal(38,18)") == wide, narrow)
 
 
 def exact_integer(lexeme: Column, kind: str = "bigint") -> Column:
@@ -29,6 +31,11 @@ def ticks(instant: Column) -> Column:
     return F.unix_micros(instant) * 10 + UNIX_TICKS
 
 
+def instant(text: Column) -> Column:
+    """An ISO instant with its offset as a timestamp, a seventh digit of its fraction cut off; null for anything else, as a zone would have to be guessed."""
+    return F.when(text.rlike(_INSTANT), F.regexp_replace(text, r"(\.\d{6})\d", "$1").try_cast("timestamp"))
+
+
 def ticks_of_text(text: Column) -> Column:
     """Ticks of an ISO instant with its offset and at most seven digits of fraction; null for anything else."""
     seventh = F.coalesce(F.regexp_extract(text, r"\.\d{6}(\d)", 1).try_cast("int"), F.lit(0))
@@ -36,11 +43,6 @@ def ticks_of_text(text: Column) -> Column:
     return F.when(text.rlike(_INSTANT), F.unix_micros(micros.try_cast("timestamp")) * 10 + UNIX_TICKS + seventh)
 
 
-def json_text(document: Column, path: str) -> Column:
-    """A string member by its dotted path; numbers need a typed projection, as JSON functions don't keep their digits."""
-    return F.get_json_object(document, f"$.{path}")
-
-
 def checked_sum(value: Column) -> Column:
     """Exact sum of 64-bit integers in a wider domain; a result that doesn't fit is an error."""
     return F.sum(value.cast("decimal(38,0)")).cast("bigint")

@@ -22,7 +22,7 @@ def newest_bound(df: DataFrame, n: int) -> int | None:
         if left <= SMALL:
             return inside.orderBy(F.desc("cursor")).limit(left).agg(F.min("cursor")).first()[0]
         width = max(1, -(-(high - low + 1) // _CELLS))
-        cells = {r["cell"]: r["n"] for r in inside.groupBy(((F.col("cursor") - low) / width).cast("long").alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        cells = {r["cell"]: r["n"] for r in inside.groupBy(F.expr(f"(cursor - {low}) div {width}").alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}
         for cell in sorted(cells, reverse=True):
             if cells[cell] >= left:
                 break

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.documents import in_scope
+from quern.functions.documents import set_member
+
+from quern.operators.documents import explain, in_scope
 from quern.operators.predicates import filter_column
 from quern.plans.declarations import Declared, Op, Unit
 from quern.plans.requests import Compare, Request, check
@@ -29,19 +33,32 @@ def _selected(unit: Unit, name: str, request: Request, scope: str | None):
     return m, chosen
 
 
-def mutate(df: DataFrame, unit: Unit, name: str, request: Request, scope: str | None = None) -> DataFrame:
-    """All rows of the unit after the mutation. Changed rows get the next version, where there is one; a row that already has the value counts as changed."""
+def mutate(df: DataFrame, unit: Unit, name: str, request: Request, scope: str | None = None, now: dt.datetime | None = None) -> DataFrame:
+    """All rows of the unit after the mutation. A row that already has the value counts as changed.
+
+    Changed rows get the value in the column and at its path in the document, the next version, and the time, where
+    there are such columns.
+    """
     m, chosen = _selected(unit, name, request, scope)
     if m.action == "delete":
         return df.filter(~chosen)
-    kind = dict(df.dtypes)[m.path]
-    columns = {m.path: F.when(chosen, F.lit(m.value).cast(kind)).otherwise(F.col(m.path))}
+    changed = {m.path: F.lit(m.value).cast(dict(df.dtypes)[m.path])}
+    if "document" in df.columns:
+        changed["document"] = set_member(F.when(chosen, F.col("document")), m.path, m.value)
     if "version" in df.columns:
-        columns["version"] = F.when(chosen, F.col("version") + 1).otherwise(F.col("version"))
-    return df.withColumns(columns)
+        changed["version"] = F.col("version") + 1
+    if "updated_utc" in df.columns and now is not None:
+        changed["updated_utc"] = F.lit(now).cast("timestamp")
+    return df.withColumns({c: F.when(chosen, new).otherwise(F.col(c)) for c, new in changed.items()})
 
 
 def affected(df: DataFrame, unit: Unit, name: str, request: Request, scope: str | None = None) -> int:
     """Rows that the mutation selects."""
     _, chosen = _selected(unit, name, request, scope)
     return in_scope(df, unit, scope).filter(chosen).count()
+
+
+def explain_mutation(df: DataFrame, unit: Unit, name: str, request: Request, scope: str | None = None) -> str:
+    """Spark's formatted plan of the selection that a mutation would change; nothing runs."""
+    _, chosen = _selected(unit, name, request, scope)
+    return explain(in_scope(df, unit, scope).filter(chosen))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text
 from quern.functions.text import Policy
-from quern.plans.declarations import Declared, Op, Unit
+from quern.plans.declarations import Declared, Op, Unit, sql_type
 from quern.plans.requests import Compare, Filter
 
 
@@ -75,7 +75,8 @@ def filter_column(unit: Unit, where: Filter) -> Column:
             if c.path == "id":
                 parts.append(identity_comparison(c, F.col("id"), unit.id_policy))
             else:
-                parts.append(comparison(c, F.col(c.path)))
+                f = unit.field(c.path)
+                parts.append(comparison(c, F.col(c.path), sql_type(f) if f.collection else None))
         clauses.append(reduce(or_, parts, F.lit(False)) if not parts else reduce(or_, parts))
     return reduce(and_, clauses) if clauses else F.lit(True)
 

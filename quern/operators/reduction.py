@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text, values
-from quern.operators.streams import Any, Is, Predicate, keep_newest, predicate_column, snapshot_rows
-from quern.plans.declarations import Declared, Profile, Stream, Type
+from quern.operators.streams import Any, Is, Predicate, check_tree, compare_one, keep_newest, predicate_column, snapshot_rows
+from quern.plans.declarations import Declared, Profile, Stream, StreamField, Type
 
 
 @dataclass(frozen=True)
@@ -22,11 +21,12 @@ class GroupAfter:
     key: str
 
 
-def reduce_groups(df: DataFrame, stream: Stream, profile: Profile, snapshot: int | None = None, where: Predicate | None = None, input_limit: int | None = None) -> DataFrame:
+def reduce_groups(df: DataFrame, stream: Stream, profile: Profile, snapshot: int | None = None, where: Predicate | None = None, input_limit: int | None = None, bounded: bool = True) -> DataFrame:
     """One row per group: group_key, group_value (as its earliest record spells it), and a column per reducer.
 
     Records without the group's field belong to no group. Unions are arrays of distinct values in the order of their
     keys, each as its earliest record spells it; a union beyond the profile's bound is an error where the group is read.
+    With bounded false that is left to group_page, which holds only the groups of its page to the bound.
     """
     group = stream.field(profile.group)
     if group.multiple or group.type is not Type.STRING:
@@ -38,6 +38,7 @@ def reduce_groups(df: DataFrame, stream: Stream, profile: Profile, snapshot: int
     if limit is not None:
         rows = keep_newest(rows, limit)
     if where is not None:
+        check_tree(stream, where)
         rows = rows.filter(predicate_column(stream, where))
     rows = rows.filter(F.col(profile.group).isNotNull()).withColumn("group_key", text.comparison_key(F.col(profile.group), group.policy))
     simple = {"min_instant": F.min, "max_instant": F.max, "max": F.max, "sum": lambda c: values.checked_sum(F.col(c))}
@@ -61,45 +62,60 @@ def reduce_groups(df: DataFrame, stream: Stream, profile: Profile, snapshot: int
         flat = flat.withColumn("key", text.comparison_key(F.col("value"), f.policy))
         spelled = flat.groupBy("group_key", "key").agg(F.min_by("value", F.struct("cursor", "at")).alias("value"))
         sets = spelled.groupBy("group_key").agg(F.array_sort(F.collect_list(F.struct("key", "value"))).alias("s"))
-        bounded = F.when(F.size("s") > profile.max_union, F.raise_error(F.lit(f"{r.alias}: more than {profile.max_union} values")).cast("array<string>")).otherwise(F.col("s.value"))
-        reduced = reduced.join(sets.select("group_key", bounded.alias(r.alias)), "group_key", "left")
+        reduced = reduced.join(sets.select("group_key", F.col("s.value").alias(r.alias)), "group_key", "left")
         reduced = reduced.withColumn(r.alias, F.coalesce(r.alias, F.array().cast("array<string>")))
-    return reduced.select("group_key", "group_value", *[r.alias for r in profile.reducers])
+    out = reduced.select("group_key", "group_value", *[r.alias for r in profile.reducers])
+    return bounded_unions(out, profile) if bounded else out
+
+
+def bounded_unions(groups: DataFrame, profile: Profile) -> DataFrame:
+    """The groups, of which reading one is an error if a union of it has more values than the profile allows."""
+    for r in profile.reducers:
+        if r.kind == "union":
+            too_many = F.raise_error(F.lit(f"{r.alias}: more than {profile.max_union} values")).cast("array<string>")
+            groups = groups.withColumn(r.alias, F.when(F.size(r.alias) > profile.max_union, too_many).otherwise(F.col(r.alias)))
+    return groups
+
+
+def _result_field(stream: Stream, profile: Profile, alias: str) -> StreamField:
+    """What a reducer gives, as a field: comparisons and orders go by its source's policy."""
+    r = next((r for r in profile.reducers if r.alias == alias), None)
+    if r is None:
+        raise Declared(f"{profile.name} has no reducer {alias}")
+    source = stream.field(r.source)
+    return StreamField(alias, source.type, r.kind == "union", source.policy)
 
 
 def having(stream: Stream, profile: Profile, p: Predicate) -> Column:
-    """A predicate tree over reducers' aliases."""
-    kinds = {r.alias: r for r in profile.reducers}
-    if not isinstance(p, Is):
-        parts = [having(stream, profile, x) for x in p.parts]
-        if not parts:
-            raise Declared("a group of no predicates")
-        return reduce(lambda a, b: a | b, parts) if isinstance(p, Any) else reduce(and_, parts)
-    if p.field not in kinds:
-        raise Declared(f"{profile.name} has no reducer {p.field}")
-    c, r = F.col(p.field), kinds[p.field]
-    if p.op == "contains" and p.values[0] == "" and r.kind != "union":
-        return F.lit(True)
-
-    def one(v: Column) -> Column:
-        if p.op == "contains":
-            return F.contains(v, F.lit(p.values[0]))
-        return v.between(F.lit(p.values[0]), F.lit(p.values[1])) if p.op == "between" else v.isin(list(p.values))
-
-    return F.coalesce(F.exists(c, one) if r.kind == "union" else one(c), F.lit(False))
+    """A predicate tree over reducers' aliases, checked as one over fields is. Texts compare by the keys of their source's policy."""
+    check_tree(stream, p, lambda alias: _result_field(stream, profile, alias))
+
+    def made(x: Predicate) -> Column:
+        if not isinstance(x, Is):
+            return reduce(lambda a, b: a | b if isinstance(x, Any) else a & b, map(made, x.parts))
+        f, c = _result_field(stream, profile, x.field), F.col(x.field)
+        if x.op == "contains" and x.values[0] == "" and not f.multiple:
+            return F.lit(True)
+        return F.coalesce(F.exists(c, lambda v: compare_one(f, x, v)) if f.multiple else compare_one(f, x, c), F.lit(False))
+
+    return made(p)
 
 
 def group_page(groups: DataFrame, stream: Stream, profile: Profile, order: str, descending: bool = False, take: int = 100, where: Predicate | None = None, after: GroupAfter | None = None) -> DataFrame:
-    """A page of reduced groups in the order of a reducer, ties by the group's key ascending. Groups without its value are left out."""
+    """A page of reduced groups in the order of a reducer, ties by the group's key ascending. Groups without its value are left out.
+
+    Texts order by the keys of their policy. Only the page's own groups are held to the bound of unions.
+    """
     if order not in profile.orderable:
         raise Declared(f"{order} is no order of {profile.name}")
     if not 1 <= take <= profile.max_take:
         raise Declared(f"take must be from 1 to {profile.max_take}")
-    rows = groups.filter(F.col(order).isNotNull())
+    rows, f = groups.filter(F.col(order).isNotNull()), _result_field(stream, profile, order)
     if where is not None:
         rows = rows.filter(having(stream, profile, where))
+    keyed = f.type is Type.STRING
+    o = text.comparison_key(F.col(order), f.policy) if keyed else F.col(order)
     if after is not None:
-        o, v = F.col(order), F.lit(after.value)
+        v = F.lit(text.key_of(after.value, f.policy) if keyed else after.value)
         rows = rows.filter((o < v if descending else o > v) | ((o == v) & (F.col("group_key") > after.key)))
-    o = F.col(order)
-    return rows.orderBy(o.desc() if descending else o.asc(), "group_key").limit(take)
+    return bounded_unions(rows.orderBy(o.desc() if descending else o.asc(), "group_key").limit(take), profile)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
@@ -46,16 +47,19 @@ class After:
     value: object = None
 
 
-def check_tree(stream: Stream, p: Predicate) -> None:
+def check_tree(stream: Stream, p: Predicate, field: Callable[[str], StreamField] | None = None) -> None:
+    """An error if the tree is no valid one over the stream's fields, or over those that field gives."""
+    field = field or stream.field
     nodes = values = 0
     todo = [p]
     while todo:
         x = todo.pop()
         nodes += 1
         if isinstance(x, Is):
-            f = stream.field(x.field)
+            f = field(x.field)
             values += len(x.values)
-            if x.op == "between" and (len(x.values) != 2 or x.values[0] > x.values[1] or f.multiple):
+            ends = [text.key_of(v, f.policy) for v in x.values] if x.op == "between" and f.type is Type.STRING else x.values
+            if x.op == "between" and (len(ends) != 2 or ends[0] > ends[1] or f.multiple):
                 raise Declared(f"{x.field}: between needs two ordered values of a scalar field")
             if x.op == "contains" and (f.type is not Type.STRING or len(x.values) != 1):
                 raise Declared(f"{x.field}: contains needs one text")
@@ -71,7 +75,7 @@ def check_tree(stream: Stream, p: Predicate) -> None:
         raise Declared("the predicate is too large")
 
 
-def _one(f: StreamField, x: Is, value: Column) -> Column:
+def compare_one(f: StreamField, x: Is, value: Column) -> Column:
     """A comparison of one value. Where keys and texts are equal alike, the column itself is compared, so that scans can be asked."""
     if f.type is Type.STRING and not (f.policy is Policy.ORDINAL and x.op != "between"):
         key, keys = text.comparison_key(value, f.policy), [text.key_of(v, f.policy) for v in x.values]
@@ -91,7 +95,7 @@ def predicate_column(stream: Stream, p: Predicate) -> Column:
     if isinstance(p, Is):
         f = stream.field(p.field)
         c = F.col(f.name)
-        found = F.exists(c, lambda v: v.isNotNull() & _one(f, p, v)) if f.multiple else _one(f, p, c)
+        found = F.exists(c, lambda v: v.isNotNull() & compare_one(f, p, v)) if f.multiple else compare_one(f, p, c)
         return c.isNotNull() & found
     parts = [predicate_column(stream, x) for x in p.parts]
     return reduce(and_ if isinstance(p, All) else or_, parts)

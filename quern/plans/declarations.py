@@ -68,6 +68,11 @@ class Field:
     scale: int = 0
 
 
+def sql_type(f: Field) -> str:
+    """The SQL type of a field's values, or of its members."""
+    return f"decimal({f.precision},{f.scale})" if f.type is Type.DECIMAL else "string" if f.type in (Type.GUID, Type.JSON) else f.type.value
+
+
 @dataclass(frozen=True)
 class Query:
     """A closed query. predicates: allowed operations by path; required: paths that every request must restrict."""

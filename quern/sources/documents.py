@@ -74,7 +74,7 @@ class DocumentStore:
 
     def read(self, unit: str, commit: int | None = None) -> DataFrame:
         """The unit's rows at a commit, or now."""
-        state = self._log.latest()[1] if commit is None else self._log.read(commit)
+        state = self._log.latest()[1] if commit is None else self._log.read(commit) if commit >= 0 else {}
         return self._rows(unit, state)
 
     def version(self) -> int:
@@ -84,8 +84,8 @@ class DocumentStore:
         at, schema = state.get("tables", {}).get(unit), unit_schema(self._units[unit])
         return self._spark.read.schema(schema).parquet(at) if at else self._spark.createDataFrame([], schema)
 
-    def load(self, unit: str, document_id: str, scope: str | None = None) -> Row | None:
-        return documents.load(self.read(unit), self._units[unit], document_id, scope)
+    def load(self, unit: str, document_id: str, scope: str | None = None, commit: int | None = None) -> Row | None:
+        return documents.load(self.read(unit, commit), self._units[unit], document_id, scope)
 
     def write(self, batch: dict[str, list[Save | Delete]]) -> int:
         """Writes all units of a batch in one commit, or nothing. The commit's number."""
@@ -109,6 +109,11 @@ class DocumentStore:
         row = self.load(unit, document_id, scope)
         return None if row is None else json.loads(row["document"])
 
+    def first_json(self, unit: str, request: Request, scope: str | None = None) -> dict | None:
+        """The first document in the request's order, or None."""
+        row = documents.first_rows(self.read(unit), self._units[unit], request, scope).select("document").first()
+        return None if row is None else json.loads(row["document"])
+
     def query_json(self, unit: str, request: Request, schema: str, scope: str | None = None) -> DataFrame:
         """A page's documents as rows of a schema, with their ids."""
         page = documents.page_rows(self.read(unit), self._units[unit], request, scope)
@@ -143,7 +148,7 @@ class DocumentStore:
                 raise Refused(f"{o.id}: {unit.name} is append-only")
             if isinstance(o, Save):
                 new.append((o.id, o.scope, (at or 0) + 1, o.schema_version, o.document, r["created_utc"] or now, now, *[o.fields.get(f.path) for f in unit.fields]))
-        left = keyed.join(F.broadcast(wanted.select("_key", "_scope")), ["_key", "_scope"], "left_anti").drop("_key", "_scope")
+        left = keyed.join(wanted.select("_key", "_scope"), ["_key", "_scope"], "left_anti").drop("_key", "_scope")
         out = left.unionByName(self._spark.createDataFrame(new, unit_schema(unit)))
         for f in unit.fields:
             if f.unique and not out.filter(F.col(f.path).isNotNull()).groupBy("storage_scope", f.path).count().filter("count > 1").isEmpty():
@@ -165,7 +170,7 @@ class DocumentStore:
             changed = mutations.affected(rows, u, name, request, scope)
             tables = dict(state.get("tables", {}))
             if changed:
-                tables[unit] = self._publish(unit, mutations.mutate(rows, u, name, request, scope))
+                tables[unit] = self._publish(unit, mutations.mutate(rows, u, name, request, scope, self._clock()))
             ledger[operation] = {"print": f"{name}:{print_}", "rows": changed}
             try:
                 self._log.commit(n, {**state, "tables": tables, "mutations": ledger})
@@ -179,7 +184,7 @@ class UnitOfWork:
     """Collects writes and commits them together. After a refusal it can only be rolled back."""
 
     def __init__(self, store: DocumentStore):
-        self._store, self._batch, self._state = store, {}, "open"
+        self._store, self._batch, self._state, self._seen = store, {}, "open", None
 
     def _add(self, unit: str, op: Save | Delete) -> None:
         if self._state != "open":
@@ -192,6 +197,14 @@ class UnitOfWork:
     def delete(self, unit: str, op: Delete) -> None:
         self._add(unit, op)
 
+    def load(self, unit: str, document_id: str, scope: str | None = None) -> Row | None:
+        """A document as it was when the unit of work first looked, whatever others committed since."""
+        if self._state != "open":
+            raise Refused(f"the unit of work is {self._state}")
+        if self._seen is None:
+            self._seen = self._store.version()
+        return self._store.load(unit, document_id, scope, self._seen)
+
     def commit(self) -> int:
         if self._state != "open":
             raise Refused(f"the unit of work is {self._state}")

@@ -83,7 +83,7 @@ def _typed(c, f: Field):
     if f.type is Type.BOOLEAN:
         return F.when(F.lower(c).isin("true", "1"), True).when(F.lower(c).isin("false", "0"), False)
     if f.type is Type.DATETIME:
-        return c.try_cast("timestamp")
+        return values.instant(c)
     return c
 
 

@@ -6,12 +6,13 @@ import datetime as dt
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.operators.streams import keep_newest
+from quern.operators.streams import keep_newest, statistics
 from quern.plans.declarations import Declared, Stream, Type
 from quern.sources.commits import CommitLog, Conflict
 
@@ -48,7 +49,7 @@ class RecordStore:
     def _log(self, tenant: str, scope: str) -> CommitLog:
         at = (tenant, scope)
         if at not in self._logs:
-            self._logs[at] = CommitLog(self._spark, f"{self._folder}/{self._stream.name}/tenant={tenant}/scope={scope}")
+            self._logs[at] = CommitLog(self._spark, f"{self._folder}/{self._stream.name}/tenant={quote(tenant, safe='')}/scope={quote(scope, safe='')}")
         return self._logs[at]
 
     def read(self, tenant: str, scope: str) -> DataFrame:
@@ -167,24 +168,45 @@ class RecordStore:
             high = seen if high is None else high if seen is None else max(high, seen)
         return {"parts": [*state.get("parts", []), path], "last_cursor": state.get("last_cursor", 0) + n, "high_water": high}
 
-    def trim(self, tenant: str, scope: str, keep: int) -> Outcome:
-        """Keeps the newest records; how many went. Cursors and high water stay."""
-        log = self._log(tenant, scope)
+    def trim(self, tenant: str, scope: str, keep: int, issued_at: dt.datetime | None = None, nonce: str | None = None) -> Outcome:
+        """Keeps the newest records; how many went. Cursors and high water stay.
+
+        A trim with an operation (issued_at, nonce) is done once: again, it gives its first outcome, however many
+        records came since; with another keep it is rejected, as is one issued outside the admission window.
+        """
+        log, operation = self._log(tenant, scope), None if nonce is None else f"{issued_at.isoformat()}|{nonce}"
         for _ in range(5):
             at, state = log.latest()
-            rows = self._rows(state)
+            ledger, extra = dict(state.get("trims", {})), {}
+            if operation is not None:
+                clock = max(self._clock().timestamp(), state.get("clock", 0.0))
+                ledger = {k: v for k, v in ledger.items() if v["until"] >= clock}
+                if operation in ledger:
+                    if ledger[operation]["keep"] != keep:
+                        raise Rejected("the operation was another one")
+                    return Outcome(ledger[operation]["rows"], ledger[operation]["last"], True)
+                self._admit(issued_at, clock)
+            rows, last = self._rows(state), state.get("last_cursor", 0)
             before, kept = rows.count(), keep_newest(rows, keep)
-            low = state.get("last_cursor", 0) + 1 if keep == 0 else kept.agg(F.min("cursor")).first()[0]
+            low = last + 1 if keep == 0 else kept.agg(F.min("cursor")).first()[0]
             gone = before - min(before, keep)
-            if not gone:
-                return Outcome(0, state.get("last_cursor", 0))
+            if operation is not None:
+                ledger[operation] = {"keep": keep, "rows": gone, "last": last, "until": clock + 2 * (self._window + self._skew).total_seconds()}
+                extra = {"clock": clock, "trims": ledger}
+            if not gone and not extra:
+                return Outcome(0, last)
             try:
-                log.commit(at, {**state, "low": low})
+                log.commit(at, {**state, **extra, **({"low": low} if gone else {})})
             except Conflict:
                 continue
-            return Outcome(gone, state.get("last_cursor", 0))
+            return Outcome(gone, last)
         raise Conflict("other writers were always faster")
 
+    def statistics(self, tenant: str, scope: str) -> DataFrame:
+        """One row: retained, newest_cursor, and last_cursor and high_water over the stream's whole life, which trims don't lower."""
+        life = self.state(tenant, scope)
+        return statistics(self.read(tenant, scope), self._stream).select("retained", "newest_cursor", F.lit(life["last_cursor"]).cast("long").alias("last_cursor"), F.lit(life["high_water"]).alias("high_water"))
+
     def compact(self, tenant: str, scope: str) -> None:
         """Rewrites the retained records as one part, sorted by cursor in ranges."""
         log = self._log(tenant, scope)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quern.sources.records import RecordStore
@@ -24,14 +23,3 @@ def append_stream(source: DataFrame, store: RecordStore, tenant: str, scope: str
 
     writer = source.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
-
-
-def recent_only(source: DataFrame, issued: str, window: dt.timedelta, skew: dt.timedelta) -> DataFrame:
-    """Records within the admission window of the stream's event time, each record id once."""
-    late = f"{int((window + skew).total_seconds())} seconds"
-    return source.withWatermark(issued, late).dropDuplicatesWithinWatermark(["record_id"])
-
-
-def windowed_counts(source: DataFrame, by: str, width: str, delay: str) -> DataFrame:
-    """Counts by tumbling window and a field, late records up to the delay."""
-    return source.withWatermark("occurred_at", delay).groupBy(F.window("occurred_at", width), by).agg(F.count(F.lit(1)).alias("n"))
