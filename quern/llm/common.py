@@ -83,10 +83,10 @@ def join_by_key(rows: DataFrame, keyed: DataFrame, key: str, n: str) -> DataFram
     return left.join(right, [key, "_part"], "left").drop("_part")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
+def small_batches(spark: SparkSession, rows: int = 512, size: str = "8m") -> None:
     """Arrow batches of few rows and bytes, so that very long texts don't add up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def give_back() -> None:

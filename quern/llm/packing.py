@@ -70,7 +70,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
         give_back()
 
-    small_batches(docs.sparkSession, 2048)
+    small_batches(docs.sparkSession, 2048, "4m")
     return docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(cut, _PIECES)
 
 

@@ -42,7 +42,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_co
             at = int(ends[-1]) if len(n) else at
         give_back()
 
-    small_batches(docs.sparkSession, 2048)
+    small_batches(docs.sparkSession, 2048, "4m")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     files = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // file_bytes)
     by = (files,) if files > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else ()
