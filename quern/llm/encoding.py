@@ -18,7 +18,7 @@ import pyarrow as pa
 from quern.llm.shingles import BASE, BYTE_VALUES, mix, power_tables
 
 #: log2 of the cache's places, of which half are used at most; then the cache starts anew. About 45 bytes a piece.
-CACHE_BITS = 20
+CACHE_BITS = 21
 _TOGETHER, _CHUNK = 32, 1 << 19
 _BARE, _AFTER_SPACE, _AFTER_LINE = 0, 1, 2
 _ODD = -1

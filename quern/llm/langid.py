@@ -78,7 +78,9 @@ def fit(indicators: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, r
     share = np.array([1.0 / seen[x] for x in labels])[:, None]  # every language weighs the same
     share *= len(labels) / share.sum()
     solved = np.linalg.solve(features.T @ (share * features) + ridge * len(labels) / 100 * np.eye(features.shape[1]), features.T @ (share * y))
-    return Model(languages, (marks.T.astype(np.float64) @ (root @ solved)).astype(np.float32))
+    coefficients, step = root @ solved, 1 << BITS
+    weights = [(marks[:, i : i + step].T.astype(np.float64) @ coefficients).astype(np.float32) for i in range(0, marks.shape[1], step)]
+    return Model(languages, np.concatenate(weights))
 
 
 def held_back_floor(indicators: np.ndarray, labels: list[str]) -> float:
@@ -138,9 +140,13 @@ def train(labelled: DataFrame, floor: bool = False) -> Model | None:
         return None
     rows.sort(key=lambda r: ((-1 if r["doc_id"] is None else r["doc_id"]) * 0x9E3779B1 % (1 << 32), r["lang"], bytes(r["bits"])))
     shape = (len(rows), len(N_GRAMS), 1 << BITS)
-    indicators = np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), np.uint8)).reshape(shape)
-    labels = [r["lang"] for r in rows]
-    return replace(fit(indicators, labels), floor=held_back_floor(indicators, labels) if floor else -math.inf)
+    labels, packed = [r["lang"] for r in rows], b"".join(bytes(r["bits"]) for r in rows)
+    rows.clear()
+    indicators = np.unpackbits(np.frombuffer(packed, np.uint8)).reshape(shape)
+    model = replace(fit(indicators, labels), floor=held_back_floor(indicators, labels) if floor else -math.inf)
+    del indicators, packed
+    give_back()  # the driver goes on to other work
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
