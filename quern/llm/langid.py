@@ -62,7 +62,17 @@ def normalised(indicators: np.ndarray) -> np.ndarray:
     return x.reshape(len(x), -1)
 
 
-def fit(indicators: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+class Packed:
+    """Indicators of texts as packed bits, an eighth of their size; what is asked for is unpacked."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def __getitem__(self, rows: slice | list[int]) -> np.ndarray:
+        return np.unpackbits(self.bits[rows], axis=1).reshape(-1, len(N_GRAMS), 1 << BITS)
+
+
+def fit(indicators: np.ndarray | Packed, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Landmarks go round the languages; the order of the sample decides which texts they are."""
     languages = tuple(sorted(set(labels)))
     seen = dict.fromkeys(languages, 0)
@@ -83,7 +93,7 @@ def fit(indicators: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, r
     return Model(languages, np.concatenate(weights))
 
 
-def held_back_floor(indicators: np.ndarray, labels: list[str]) -> float:
+def held_back_floor(indicators: Packed, labels: list[str]) -> float:
     """The value that practically all rows of the last quarter, which is not learned here, exceed; lower if they are few.
 
     It is 0.5 at most, half way from texts unlike all learned ones (near 0 or below, as there is no intercept) to alike ones.
@@ -91,8 +101,8 @@ def held_back_floor(indicators: np.ndarray, labels: list[str]) -> float:
     cut = len(labels) * 3 // 4
     if not cut:
         return -math.inf
-    weights = fit(indicators[:cut], labels[:cut]).weights
-    long = [i for i in range(cut, len(labels)) if int(indicators[i, -1].sum()) >= HELD_GRAMS]
+    weights = fit(Packed(indicators.bits[:cut]), labels[:cut]).weights
+    long = [i for i in range(cut, len(labels)) if int(indicators[[i]][0, -1].sum()) >= HELD_GRAMS]
     if not long:
         return -math.inf
     best = np.sort(np.concatenate([(normalised(indicators[long[i : i + BATCH_TEXTS]]) @ weights).max(axis=1) for i in range(0, len(long), BATCH_TEXTS)]))
@@ -139,10 +149,9 @@ def train(labelled: DataFrame, floor: bool = False) -> Model | None:
     if not rows:
         return None
     rows.sort(key=lambda r: ((-1 if r["doc_id"] is None else r["doc_id"]) * 0x9E3779B1 % (1 << 32), r["lang"], bytes(r["bits"])))
-    shape = (len(rows), len(N_GRAMS), 1 << BITS)
     labels, packed = [r["lang"] for r in rows], b"".join(bytes(r["bits"]) for r in rows)
     rows.clear()
-    indicators = np.unpackbits(np.frombuffer(packed, np.uint8)).reshape(shape)
+    indicators = Packed(np.frombuffer(packed, np.uint8).reshape(len(labels), -1))
     model = replace(fit(indicators, labels), floor=held_back_floor(indicators, labels) if floor else -math.inf)
     del indicators, packed
     give_back()  # the driver goes on to other work
