@@ -15,7 +15,7 @@ from quern.functions import text, values
 from quern.functions.text import Policy
 from quern.operators import documents, joins, mutations, predicates, reduction, streams
 from quern.operators.streams import After, All, Any, Is
-from quern.plans.declarations import Field, Mutation, Op, Paging, Profile, Query, Reducer, Stream, StreamField, Type, Unit, admitted
+from quern.plans.declarations import Field, Mutation, NoReferences, Op, Paging, Profile, Query, Reducer, RelatedNotEqual, Stream, StreamField, Type, Unit, admitted, compose
 from quern.plans.requests import Compare, Request, encode_token, request_fingerprint
 from quern.sources import evolution
 
@@ -50,6 +50,12 @@ LABELLED = admitted(
         (Query("find", {"quality": RANGES, "toxic": RANGES, "lang": TEXTS, "text": TEXTS}, max_take=1_000_000), Query("by quality", {"quality": RANGES}, (("quality", False),), Paging.CURSOR, max_take=1_000_000)),
     )
 )
+BUYER, PURCHASE = compose(
+    (
+        Unit("buyer", (Field("segment", Type.STRING),), (Query("find", {"segment": TEXTS}),), (Mutation("drop", "find", "delete", guards=(NoReferences("purchase", "buyer"),)),)),
+        Unit("purchase", (Field("buyer", Type.STRING), Field("status", Type.STRING)), (Query("find", {"status": TEXTS}),), (Mutation("drop", "find", "delete", guards=(RelatedNotEqual("buyer", "buyer", "segment", "BUILDING"),)),)),
+    )
+)
 DAILY = admitted(Unit("daily", (Field("types", Type.STRING, collection=True),), (Query("find", {"types": frozenset({Op.HAS, Op.HAS_ALL})}, max_take=1_000_000),)))
 LINE = admitted(Unit("line", (Field("quantity", Type.INT64), Field("price", Type.INT64)), (Query("scan", {"quantity": RANGES}, max_take=100_000_000), Query("rank", {"quantity": RANGES}, (("price", True),)))))
 
@@ -208,8 +214,9 @@ def latest_count(spark, sf_dir):
 
 def linked_join(spark, sf_dir):
     df = orders(spark, sf_dir)
-    page = documents.page_rows(df.select("id", "status", "total"), ORDER, Request("by total", (_c("status", Op.EQUAL, "F"),), take=30)).select("id")
-    return joins.hydrate(page, df).select("id", "customer", "priority")
+    request = Request("by total", (_c("status", Op.EQUAL, "F"),), take=30)
+    page = documents.page_rows(df.select("id", "status", "total"), ORDER, request).select("id")
+    return joins.hydrate(page, df, order=documents.page_order(ORDER, request)).select("id", "customer", "priority")
 
 
 def json_path(spark, sf_dir):
@@ -290,6 +297,38 @@ def guard_related(spark, sf_dir):
     return joins.related_not_equal(o, "o_custkey", _read(spark, sf_dir, "customer"), "c_custkey", "c_mktsegment", "BUILDING").select("o_orderkey")
 
 
+def _bought(spark: SparkSession, sf_dir: str) -> mutations.Related:
+    """Buyers, and their orders of the lowest priority."""
+    c, o = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "orders").filter("o_orderpriority = '5-LOW'")
+    buyers = c.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("segment"))
+    return {"buyer": (BUYER, buyers), "purchase": (PURCHASE, o.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("buyer"), F.col("o_orderstatus").alias("status")))}
+
+
+def guarded_delete(spark, sf_dir):
+    """Of the buyers of a segment those go that no purchase refers to."""
+    related = _bought(spark, sf_dir)
+    return mutations.mutate(related["buyer"][1], BUYER, "drop", Request("find", (_c("segment", Op.EQUAL, "BUILDING"),)), related=related).select("id", "segment")
+
+
+def related_delete(spark, sf_dir):
+    """Of the purchases of a status those go whose buyer is of another segment."""
+    related = _bought(spark, sf_dir)
+    return mutations.mutate(related["purchase"][1], PURCHASE, "drop", Request("find", (_c("status", Op.EQUAL, "F"),)), related=related).select("id", "buyer", "status")
+
+
+def stream_token_page(spark, sf_dir):
+    """The second page of a stream query, by the first one's token."""
+    df, asked = events(spark, sf_dir), {"where": Is("kind", "equal", ("click",)), "order": "sequence", "descending": True, "limit": 100}
+    return streams.query_stream(df, EVENTS, **asked, after=streams.query_stream(df, EVENTS, **asked).next).rows.select("cursor", "sequence")
+
+
+def group_token_page(spark, sf_dir):
+    """The second page of groups, by the first one's token."""
+    df, p = events(spark, sf_dir), profile("total", "kinds", "ended")
+    asked = {"order": "ended", "descending": True, "take": 25, "where": Is("total", "between", (1, 10**12)), "matching": Is("kind", "in", ("click", "view"))}
+    return _shown(reduction.query_groups(df, EVENTS, p, **asked, after=reduction.query_groups(df, EVENTS, p, **asked).next).rows)
+
+
 def elements_all(spark, sf_dir):
     owners = daily(spark, sf_dir)
     elements = owners.select("id", F.explode("types").alias("element"))
@@ -395,6 +434,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mutation_delete": _mutated("drop", _c("status", Op.EQUAL, "P")),
     "mutation_assign": _mutated("assign", _c("total", Op.GREATER, 250000)),
     "mutation_transition": _mutated("close", _c("priority", Op.EQUAL, "1-URGENT")),
+    "mutation_delete_unreferenced": guarded_delete,
+    "mutation_delete_related": related_delete,
+    "stream_token_page2": stream_token_page,
+    "group_token_page2": group_token_page,
     "guard_no_references": guard_no_references,
     "guard_related_not_equal": guard_related,
     "backfill_projection": backfill,
@@ -501,6 +544,12 @@ ORACLE_SQL: dict[str, str] = {
         HAVING max(sequence) BETWEEN 0 AND 5000 ORDER BY records, group_value LIMIT 30""",
     "mutation_documents": f"SELECT {_ID} AS id, CASE WHEN {_TOTAL} > 250000 THEN '9-NONE' ELSE o_orderpriority END AS priority, CASE WHEN {_TOTAL} > 250000 THEN 2 ELSE 1 END::BIGINT AS version, CASE WHEN {_TOTAL} > 250000 THEN '9-NONE' END AS set, o_orderstatus AS status, o_orderpriority AS kept FROM orders",
     "mutation_delete": _orders("o_orderstatus IS DISTINCT FROM 'P'", f"{_ID} AS id, o_orderstatus AS status, o_orderpriority AS priority"),
+    "mutation_delete_unreferenced": "SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS segment FROM customer c WHERE c_mktsegment IS DISTINCT FROM 'BUILDING' OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '5-LOW')",
+    "mutation_delete_related": f"""SELECT {_ID} AS id, CAST(o_custkey AS VARCHAR) AS buyer, o_orderstatus AS status FROM orders
+        WHERE o_orderpriority = '5-LOW' AND (o_orderstatus IS DISTINCT FROM 'F' OR NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment IS DISTINCT FROM 'BUILDING'))""",
+    "stream_token_page2": f"SELECT cursor, sequence FROM {_EV} WHERE kind = 'click' AND sequence IS NOT NULL ORDER BY sequence DESC, cursor DESC LIMIT 100 OFFSET 100",
+    "group_token_page2": f"""SELECT * FROM ({_grouped(f'CAST(sum(sequence) AS BIGINT) AS total, {_UNION}, max(occurred_at) AS ended', source=f"(SELECT * FROM {_EV} WHERE kind IN ('click', 'view'))")})
+        WHERE total BETWEEN 1 AND 1000000000000 ORDER BY ended DESC, group_value LIMIT 25 OFFSET 25""",
     "mutation_assign": f"SELECT {_ID} AS id, o_orderstatus AS status, CASE WHEN {_TOTAL} > 250000 THEN '9-NONE' ELSE o_orderpriority END AS priority FROM orders",
     "mutation_transition": f"SELECT {_ID} AS id, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus IN ('O', 'P') THEN 'F' ELSE o_orderstatus END AS status, o_orderpriority AS priority FROM orders",
     "guard_no_references": "SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '5-LOW')",

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text
@@ -38,6 +38,11 @@ def _total_order(unit: Unit, query: Query, request: Request) -> list[tuple[str,
     return [*resolve_order(query, request.order), *([("storage_scope", False)] if unit.scoped else []), ("id", False)]
 
 
+def page_order(unit: Unit, request: Request) -> list[Column]:
+    """The total order of a request's pages, to sort by again where rows were joined."""
+    return order_columns(_total_order(unit, check(unit, request), request))
+
+
 def selection(df: DataFrame, unit: Unit, request: Request, scope: str | None = None, across: bool = False) -> DataFrame:
     """All rows that the request's filter selects; of each key the first in order, where latest-per-key is declared."""
     query = check(unit, request)
@@ -50,6 +55,11 @@ def selection(df: DataFrame, unit: Unit, request: Request, scope: str | None = N
 
 def page_rows(df: DataFrame, unit: Unit, request: Request, scope: str | None = None, across: bool = False) -> DataFrame:
     """The rows of one page in order; lazy."""
+    return _page(df, unit, request, scope, across)
+
+
+def _page(df: DataFrame, unit: Unit, request: Request, scope: str | None, across: bool, probe: int = 0) -> DataFrame:
+    """page_rows and as many rows more as probe."""
     query = check(unit, request)
     order = _total_order(unit, query, request)
     rows = selection(df, unit, request, scope, across)
@@ -58,11 +68,14 @@ def page_rows(df: DataFrame, unit: Unit, request: Request, scope: str | None = N
     rows = rows.orderBy(*order_columns(order))
     if request.skip:
         rows = rows.offset(request.skip)
-    return rows.limit(query.max_take if request.take is None else request.take)
+    return rows.limit((query.max_take if request.take is None else request.take) + probe)
 
 
 def query_page(df: DataFrame, unit: Unit, request: Request, scope: str | None = None, across: bool = False, total: bool = False) -> Page:
-    """A page, its total if asked for, and the token of the next page if there is one."""
+    """A page, its total if asked for, and the token of the next page if there is one.
+
+    The boundary is found by the page's order alone, with one row more than the page: at most max_take + 1 narrow rows.
+    """
     query = check(unit, request)
     take = query.max_take if request.take is None else request.take
     n = count(df, unit, request, scope, across) if total else None
@@ -72,13 +85,8 @@ def query_page(df: DataFrame, unit: Unit, request: Request, scope: str | None =
     if query.paging is not Paging.CURSOR:
         return Page(rows, n)
     order = _total_order(unit, query, request)
-    probe = page_rows(df, unit, Request(request.query, request.where, request.order, 0, take, request.after), scope, across)
-    held = probe.select(*[p for p, _ in order]).tail(1)
-    if not held:
-        return Page(rows, n)
-    boundary = list(held[0])
-    more = selection(df, unit, request, scope, across).filter(keyset_column(order, boundary)).limit(1).count()
-    return Page(rows, n, encode_token(request_fingerprint(unit, request, scope), boundary) if more else None)
+    held = _page(df, unit, request, scope, across, probe=1).select(*[p for p, _ in order]).collect()
+    return Page(rows, n, encode_token(request_fingerprint(unit, request, scope), list(held[take - 1])) if len(held) > take else None)
 
 
 def count_rows(df: DataFrame, unit: Unit, request: Request, scope: str | None = None, across: bool = False) -> DataFrame:

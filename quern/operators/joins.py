@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def hydrate(page: DataFrame, documents: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """The documents of a page of covering rows. A page is limited, so Spark broadcasts it by its size."""
-    return page.select(*keys).join(documents, list(keys))
+def hydrate(page: DataFrame, documents: DataFrame, keys: tuple[str, ...] = ("id",), order: list[Column] | None = None) -> DataFrame:
+    """The documents of a page of covering rows, in an order if one is given, as joins keep none.
+
+    A page is limited, so Spark broadcasts it by its size.
+    """
+    rows = page.select(*keys).join(documents, list(keys))
+    return rows.orderBy(*order) if order else rows
 
 
 def owners_with_element(owners: DataFrame, elements: DataFrame, value: object, key: str = "id") -> DataFrame:

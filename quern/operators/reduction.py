@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text, values
-from quern.operators.streams import Any, Is, Predicate, check_tree, compare_one, keep_newest, predicate_column, snapshot_rows
+from quern.operators.streams import Any, Is, Predicate, check_tree, compare_one, keep_newest, newest_cursor, predicate_column, snapshot_rows
 from quern.plans.declarations import Declared, Profile, Stream, StreamField, Type
+from quern.plans.requests import decode_token, encode_token, fingerprint
 
 
 @dataclass(frozen=True)
@@ -110,6 +111,12 @@ def group_page(groups: DataFrame, stream: Stream, profile: Profile, order: str,
         raise Declared(f"{order} is no order of {profile.name}")
     if not 1 <= take <= profile.max_take:
         raise Declared(f"take must be from 1 to {profile.max_take}")
+    rows, by = _ordered_groups(groups, stream, profile, order, descending, where, after)
+    return bounded_unions(rows.orderBy(*by).limit(take), profile)
+
+
+def _ordered_groups(groups: DataFrame, stream: Stream, profile: Profile, order: str, descending: bool, where: Predicate | None, after: GroupAfter | None) -> tuple[DataFrame, list[Column]]:
+    """The groups after a page's end that match, and their total order."""
     rows, f = groups.filter(F.col(order).isNotNull()), _result_field(stream, profile, order)
     if where is not None:
         rows = rows.filter(having(stream, profile, where))
@@ -118,4 +125,47 @@ def group_page(groups: DataFrame, stream: Stream, profile: Profile, order: str,
     if after is not None:
         v = F.lit(text.key_of(after.value, f.policy) if keyed else after.value)
         rows = rows.filter((o < v if descending else o > v) | ((o == v) & (F.col("group_key") > after.key)))
-    return bounded_unions(rows.orderBy(o.desc() if descending else o.asc(), "group_key").limit(take), profile)
+    return rows, [o.desc() if descending else o.asc(), F.col("group_key").asc()]
+
+
+@dataclass(frozen=True)
+class GroupPage:
+    """rows in order; the snapshot that they are reduced from; the token of the next page if there is one."""
+
+    rows: DataFrame
+    snapshot: int
+    next: str | None = None
+
+
+def query_groups(df: DataFrame, stream: Stream, profile: Profile, order: str, descending: bool = False, take: int = 100, where: Predicate | None = None, matching: Predicate | None = None, input_limit: int | None = None, after: str | None = None) -> GroupPage:
+    """A page of groups of what is there when the first page is asked for. matching selects records, where groups.
+
+    Tokens carry the snapshot and the input limit, and belong to one stream, profile, selection and order; a token with
+    another input limit is refused, as the groups would be others. The groups are reduced once for a page and its token:
+    the page comes to the driver, at most max_take groups with bounded unions, and the next group without its unions.
+    """
+    shape = [stream.name, [repr(f) for f in stream.fields], profile.name, profile.group, [repr(r) for r in profile.reducers], profile.max_union]
+    bound_to = fingerprint("groups", shape, repr(where), repr(matching), order, descending)
+    limit = profile.input_limit if input_limit is None else input_limit
+    snapshot, at = None, None
+    if after is not None:
+        snapshot, held_limit, value, key = decode_token(after, bound_to)
+        if held_limit != limit:
+            raise Declared("the continuation token belongs to another input limit")
+        at = GroupAfter(value, key)
+    if order not in profile.orderable:
+        raise Declared(f"{order} is no order of {profile.name}")
+    if not 1 <= take <= profile.max_take:
+        raise Declared(f"take must be from 1 to {profile.max_take}")
+    snapshot = newest_cursor(df) if snapshot is None else snapshot
+    groups = reduce_groups(df, stream, profile, snapshot, matching, input_limit, bounded=False)
+    rows, by = _ordered_groups(groups, stream, profile, order, descending, where, at)
+    rows = rows.orderBy(*by).limit(take + 1).withColumn("_n", F.row_number().over(Window.orderBy(*by)))  # take + 1 rows
+    unions = [r.alias for r in profile.reducers if r.kind == "union"]
+    rows = bounded_unions(rows.withColumns({u: F.when(F.col("_n") <= take, F.col(u)) for u in unions}), profile)
+    held = rows.orderBy("_n").drop("_n").collect()
+    page = df.sparkSession.createDataFrame(held[:take], groups.schema)
+    if len(held) <= take:
+        return GroupPage(page, snapshot)
+    last = held[take - 1]
+    return GroupPage(page, snapshot, encode_token(bound_to, [snapshot, limit, last[order], last["group_key"]]))

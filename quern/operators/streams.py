@@ -14,6 +14,7 @@ from quern.functions import text
 from quern.functions.text import Policy
 from quern.operators.bounds import newest_bound
 from quern.plans.declarations import Declared, Stream, StreamField, Type
+from quern.plans.requests import decode_token, encode_token, fingerprint
 
 
 @dataclass(frozen=True)
@@ -129,6 +130,10 @@ def stream_page(df: DataFrame, stream: Stream, where: Predicate | None = None, s
     """A page in the order of a field and the cursor, both in one direction, or of the cursor alone."""
     if not 1 <= limit <= stream.max_limit:
         raise Declared(f"the limit must be from 1 to {stream.max_limit}")
+    return _stream_rows(df, stream, where, snapshot, latest, order, descending, limit, after)
+
+
+def _stream_rows(df: DataFrame, stream: Stream, where: Predicate | None, snapshot: int | None, latest: str | None, order: str | None, descending: bool, limit: int, after: After | None) -> DataFrame:
     rows = matching(df, stream, where, after.snapshot if after else snapshot, latest, order)
     by: list[Column] = [F.col("cursor")]
     if order is not None:
@@ -144,6 +149,38 @@ def stream_page(df: DataFrame, stream: Stream, where: Predicate | None = None, s
     return rows.orderBy(*[c.desc() if descending else c.asc() for c in by]).limit(limit)
 
 
+@dataclass(frozen=True)
+class StreamPage:
+    """rows in order; the snapshot that they belong to; the token of the next page if there is one."""
+
+    rows: DataFrame
+    snapshot: int
+    next: str | None = None
+
+
+def newest_cursor(df: DataFrame) -> int:
+    """The newest cursor, 0 where there is no record: the snapshot that a first page takes."""
+    return df.agg(F.max("cursor")).first()[0] or 0
+
+
+def query_stream(df: DataFrame, stream: Stream, where: Predicate | None = None, latest: str | None = None, order: str | None = None, descending: bool = False, limit: int = 100, after: str | None = None) -> StreamPage:
+    """A page of what is there when the first page is asked for; its tokens carry that snapshot, so later records stay out.
+
+    A token belongs to one declared stream, filter, key and order; the limit may change from page to page. The end of a
+    page is found by the order's columns alone, at most max_limit + 1 narrow rows.
+    """
+    bound_to = fingerprint("stream", stream.name, [repr(f) for f in stream.fields], repr(where), latest, order, descending)
+    at = None if after is None else After(*decode_token(after, bound_to))
+    snapshot = at.snapshot if at else newest_cursor(df)
+    rows = stream_page(df, stream, where, snapshot, latest, order, descending, limit, at)
+    ends = _stream_rows(df, stream, where, snapshot, latest, order, descending, limit + 1, at)
+    held = ends.select("cursor", *([F.col(order).alias("_value")] if order is not None else [])).collect()
+    if len(held) <= limit:
+        return StreamPage(rows, snapshot)
+    last = held[limit - 1]
+    return StreamPage(rows, snapshot, encode_token(bound_to, [snapshot, last["cursor"], last["_value"] if order is not None else None]))
+
+
 def exact_count(df: DataFrame, stream: Stream, **asked: object) -> DataFrame:
     """One row: n, of all pages together."""
     return matching(df, stream, **asked).agg(F.count(F.lit(1)).alias("n"))

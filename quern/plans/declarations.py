@@ -87,9 +87,33 @@ class Query:
     max_take: int = 1000
 
 
+@dataclass(frozen=True)
+class NoReferences:
+    """Holds for a row whose id no row of the unit has in its reference field."""
+
+    unit: str
+    reference: str
+
+
+@dataclass(frozen=True)
+class RelatedNotEqual:
+    """Holds for a row whose reference field is the id of a row of the unit with another value in the path (null is another one)."""
+
+    reference: str
+    unit: str
+    path: str
+    value: object
+
+
+Guard = NoReferences | RelatedNotEqual
+
+
 @dataclass(frozen=True)
 class Mutation:
-    """A declared bulk change of the rows that a query selects. sources: only rows with these values move to the target."""
+    """A declared bulk change of the rows that a query selects. sources: only rows with these values move to the target.
+
+    guards: a deletion leaves the rows for which one of them doesn't hold.
+    """
 
     name: str
     query: str
@@ -97,6 +121,7 @@ class Mutation:
     path: str | None = None
     value: object = None
     sources: tuple = ()
+    guards: tuple[Guard, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -171,6 +196,9 @@ def problems(unit: Unit) -> list[Problem]:
             out.append(Problem(m.name, "a mutation can't select by membership"))
         if m.action != "delete" and m.path not in known:
             out.append(Problem(m.name, "no field to change"))
+        if m.guards and m.action != "delete":
+            out.append(Problem(m.name, "only deletions are guarded"))
+        out += [Problem(f"{m.name}.{g.reference}", "no field that can refer") for g in m.guards if isinstance(g, RelatedNotEqual) and (g.reference not in known or known[g.reference].type is not Type.STRING or known[g.reference].collection)]
         if m.action == "transition" and (not m.sources or m.value in m.sources):
             out.append(Problem(m.name, "a transition needs sources other than its target"))
     return out
@@ -188,12 +216,22 @@ def admitted(unit: Unit) -> Unit:
 
 
 def compose(*groups: tuple[Unit, ...]) -> tuple[Unit, ...]:
-    """The units of several owners together; no two may share a name."""
+    """The units of several owners together; no two may share a name, and guards must name units and fields among them."""
     units = tuple(u for g in groups for u in g)
     names = [u.name for u in units]
     twice = sorted({n for n in names if names.count(n) > 1})
     if twice:
         raise Declared(f"declared twice: {', '.join(twice)}")
+    known = {u.name: u for u in units}
+    for u in units:
+        for g in (g for m in u.mutations for g in m.guards):
+            if g.unit not in known:
+                raise Declared(f"{u.name}: no unit {g.unit} for a guard")
+            f = known[g.unit].field(g.reference if isinstance(g, NoReferences) else g.path)
+            if f.collection or isinstance(g, NoReferences) and f.type is not Type.STRING:
+                raise Declared(f"{u.name}: {g.unit}.{f.path} can't guard")
+            if known[g.unit].scoped and not u.scoped:
+                raise Declared(f"{u.name}: a global unit can't be guarded by a scoped one")
     return tuple(map(admitted, units))
 
 

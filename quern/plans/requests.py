@@ -88,9 +88,9 @@ def fingerprint(*parts: object) -> str:
 
 
 def request_fingerprint(unit: Unit, request: Request, scope: str | None) -> str:
-    """Alike for alternatives and members in any order."""
+    """Alike for alternatives and members in any order. The declared order is part of it, as boundaries are values of it."""
     where = sorted(sorted([c.path, c.op.value, sorted(map(repr, c.value)) if isinstance(c.value, (list, tuple)) else repr(c.value)] for c in clause) for clause in request.where)
-    return fingerprint(unit.name, request.query, where, scope)
+    return fingerprint(unit.name, request.query, unit.query(request.query).order, where, scope)
 
 
 def encode_token(bound_to: str, values: list[object]) -> str:

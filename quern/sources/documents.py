@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from quern.functions import text
 from quern.operators import documents, mutations
-from quern.plans.declarations import Field, Type, Unit, admitted
+from quern.plans.declarations import Field, Type, Unit, compose
 from quern.plans.requests import Request, request_fingerprint
 from quern.sources.commits import CommitLog, Conflict
 
@@ -70,7 +70,7 @@ class Refused(RuntimeError):
 class DocumentStore:
     def __init__(self, spark: SparkSession, folder: str, units: list[Unit], clock: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.UTC)):
         self._spark, self._log, self._clock = spark, CommitLog(spark, folder), clock
-        self._units = {u.name: admitted(u) for u in units}
+        self._units = {u.name: u for u in compose(tuple(units))}
 
     def read(self, unit: str, commit: int | None = None) -> DataFrame:
         """The unit's rows at a commit, or now."""
@@ -167,10 +167,11 @@ class DocumentStore:
                     raise Refused(f"operation {operation} was another one")
                 return ledger[operation]["rows"], True
             rows = self._rows(unit, state)
-            changed = mutations.affected(rows, u, name, request, scope)
+            related = {g.unit: (self._units[g.unit], self._rows(g.unit, state)) for g in u.mutation(name).guards}
+            changed = mutations.affected(rows, u, name, request, scope, related)
             tables = dict(state.get("tables", {}))
             if changed:
-                tables[unit] = self._publish(unit, mutations.mutate(rows, u, name, request, scope, self._clock()))
+                tables[unit] = self._publish(unit, mutations.mutate(rows, u, name, request, scope, self._clock(), related))
             ledger[operation] = {"print": f"{name}:{print_}", "rows": changed}
             try:
                 self._log.commit(n, {**state, "tables": tables, "mutations": ledger})
